@@ -18,8 +18,12 @@ def exact(c: ColumnLike) -> Column:
 
 
 def ratio(top: ColumnLike, bottom: ColumnLike, digits: int | None = None) -> Column:
-    """top / bottom, NULL where bottom is 0; rounded half up when digits is given."""
-    value = F.try_divide(col(top), col(bottom))
+    """Exact top / bottom, NULL where bottom is 0; rounded half up when digits is given.
+
+    Sums of sums widen to decimal(38,2), whose quotient keeps six digits only and would
+    be rounded twice. Narrowing first leaves 18 digits after the point.
+    """
+    value = F.try_divide(col(top).cast("decimal(28,10)"), col(bottom).cast("decimal(20,2)"))
     return value if digits is None else F.round(value, digits)
 
 

@@ -101,3 +101,63 @@ def activity_days(t: Tables, *, sessions: bool = False) -> DataFrame:
             t.sessions.select("customer_id", day("start_time").alias("activity_day"))
         )
     return union.distinct()
+
+
+def sample_std(n: str, total: str, squares: str) -> Column:
+    """Sample standard deviation from exact sums; NULL below two values."""
+    spread = (
+        F.col(n).cast("decimal(11,0)") * F.col(squares).cast("decimal(27,4)")
+        - F.col(total).cast("decimal(18,2)") * F.col(total).cast("decimal(18,2)")
+    ).cast("double")
+    count = F.col(n).cast("double")
+    return F.when(F.col(n) > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (count * (count - 1))))
+
+
+def customer_bet_profile(t: Tables, recent_days: int = 30) -> DataFrame:
+    """Betting habits per customer, built over customer-days in two reductions.
+
+    Distinct days become row counts and the spread of daily bets a plain sum, so no
+    distinct aggregate is expanded over raw bets.
+    """
+    days = t.betting_activity.groupBy("customer_id", day("bet_date").alias("bet_day")).agg(
+        F.count("*").alias("n"), F.sum("bet_amount").alias("stake"),
+        F.sum(F.col("bet_amount") * F.col("bet_amount")).alias("stake2"),
+        F.sum("payout").alias("paid"), F.sum("net_result").alias("net"),
+        F.count_if("bet_won").alias("won"),
+        F.min(F.struct("bet_date", "bet_amount")).alias("first"), F.max("bet_date").alias("last"),
+    )
+    recent = F.col("bet_day") >= F.date_sub(t.today, recent_days)
+    total = days.groupBy("customer_id").agg(
+        F.sum("n").alias("total_bets"), F.sum("stake").alias("total_wagered"),
+        F.sum("stake2").alias("squares"), F.sum("paid").alias("total_payouts"),
+        F.sum("net").alias("customer_net_result"), F.sum("won").alias("bets_won"),
+        F.min("first").alias("first"), F.max("last").alias("last_bet_date"),
+        F.count("*").alias("betting_days"),
+        F.sum(F.col("n") * F.col("n")).alias("bets_per_day_squares"),
+        F.sum(F.when(recent, F.col("n"))).alias("recent_bets"),
+        F.sum(F.when(recent, F.col("stake"))).alias("recent_wagered"),
+        F.count_if(recent).alias("recent_days"),
+    )
+    return total.withColumns({
+        "first_bet_date": F.col("first.bet_date"), "first_bet_amount": F.col("first.bet_amount"),
+        "bet_size_std": sample_std("total_bets", "total_wagered", "squares"),
+        "bets_per_day_std": sample_std("betting_days", "total_bets", "bets_per_day_squares"),
+    }).drop("first")
+
+
+def customer_sports(t: Tables) -> DataFrame:
+    """One row per customer and sport."""
+    return t.betting_activity.groupBy("customer_id", "sport").agg(
+        F.count("*").alias("bets_count"), F.sum("bet_amount").alias("total_wagered"),
+        F.count_if("bet_won").alias("won"), F.sum("net_result").alias("net_result"),
+    )
+
+
+def customer_sport_profile(t: Tables) -> DataFrame:
+    """Number of sports and the most frequent one (smallest name on ties)."""
+    # counts negated so that one min() takes the highest count, then the smallest name
+    most = F.min(F.struct((-F.col("bets_count")).alias("minus"), "sport"))
+    return customer_sports(t).groupBy("customer_id").agg(
+        F.count("sport").alias("sports_diversity"),
+        most.getField("sport").alias("favorite_sport"),
+    )

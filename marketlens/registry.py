@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.operators import kpis
+from marketlens.operators import advanced, dashboard, kpis, quality
 from marketlens.plans.tables import Tables
 from marketlens.sources.adapter import from_testdata
 
@@ -23,6 +24,24 @@ OPERATORS: dict[str, Operator] = {
     "weekly_trends": kpis.weekly_trends,
     "customer_segmentation": kpis.customer_segmentation,
     "channel_attribution_sql": kpis.channel_attribution,
+    "customer_journey_milestones": advanced.customer_journey_milestones,
+    "churn_features_sql": advanced.churn_features,
+    "campaign_deep_analysis": advanced.campaign_deep_analysis,
+    "sports_preference": advanced.sports_preference,
+    "daily_timeseries": advanced.daily_timeseries,
+    "data_quality_summary": quality.data_quality_summary,
+    "database_summary": quality.database_summary,
+    "dq_primary_key": quality.dq_primary_key,
+    "dq_foreign_key": quality.dq_foreign_key,
+    "dq_domain": quality.dq_domain,
+    "filter_customers": lambda t: dashboard.table_counts(dashboard.filter_customers(
+        t, dt.date(1996, 1, 1), dt.date(1998, 6, 30), "paid_search", "All")),
+    "overview_kpis": dashboard.overview_kpis,
+    "channel_performance": dashboard.channel_performance,
+    "daily_metrics": dashboard.daily_metrics,
+    "dataset_summary": dashboard.dataset_summary,
+    "campaign_audience": dashboard.campaign_audience_sizes,
+    "data_dictionary": dashboard.data_dictionary,
 }
 
 
@@ -37,6 +56,8 @@ def portable(df: DataFrame) -> DataFrame:
             column = column.cast("bigint")
         elif isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
             column = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+            column = F.concat_ws(",", column)
         out.append(column.alias(field.name))
     return df.select(*out)
 

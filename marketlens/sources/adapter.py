@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marketlens.plans.tables import Tables
 
-AS_OF = dt.date(2001, 12, 31)
+AS_OF = dt.date(2001, 11, 5)
 MAX_CAMPAIGNS = 27
 SESSION_BUCKET_SECONDS = 7200
 EARLY_BET_DAYS = 30

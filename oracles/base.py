@@ -7,7 +7,7 @@ DuckDB's ROUND works on binary doubles, Spark's on exact decimals. ``rnd`` nudge
 
 from __future__ import annotations
 
-AS_OF = "DATE '2001-12-31'"
+AS_OF = "DATE '2001-11-05'"
 
 
 def rnd(expression: str, digits: int = 2) -> str:

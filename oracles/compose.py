@@ -7,7 +7,7 @@ import re
 
 from oracles.base import CTES
 
-MODULES = ("kpis", "written", "attribution", "cohorts", "abtests", "features", "bi", "timed")
+MODULES = ("kpis", "advanced", "quality", "written", "attribution", "cohorts", "abtests", "features", "bi", "timed")
 
 
 def compose(body: str) -> str:
