@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.operators import advanced, dashboard, kpis, quality
+from marketlens.operators import advanced, cohorts, dashboard, kpis, quality, written
 from marketlens.plans.tables import Tables
 from marketlens.sources.adapter import from_testdata
 
@@ -42,6 +42,27 @@ OPERATORS: dict[str, Operator] = {
     "dataset_summary": dashboard.dataset_summary,
     "campaign_audience": dashboard.campaign_audience_sizes,
     "data_dictionary": dashboard.data_dictionary,
+    "customer_ltv_as_written": written.customer_ltv,
+    "cohort_retention_sql_as_written": written.cohort_retention,
+    "campaign_performance_as_written": written.campaign_performance,
+    "daily_engagement_as_written": written.daily_engagement,
+    "customer_segmentation_as_written": written.customer_segmentation,
+    "churn_features_sql_as_written": written.churn_features,
+    "campaign_deep_analysis_as_written": written.campaign_deep_analysis,
+    "revenue_cohort_sql_as_written": written.revenue_cohort,
+    "cohort_retention_sql": cohorts.cohort_retention,
+    "revenue_cohort_sql": cohorts.revenue_cohort,
+    "retention_cohorts": cohorts.retention_cohorts,
+    "retention_cohorts_weekly": lambda t: cohorts.retention_cohorts(t, "weekly"),
+    "retention_matrix": lambda t: cohorts.retention_matrix(t, periods=84),
+    "retention_long": cohorts.retention_long,
+    "retention_summary": cohorts.retention_summary,
+    "revenue_cohorts": cohorts.revenue_cohorts,
+    "revenue_cohorts_weekly": lambda t: cohorts.revenue_cohorts(t, "weekly"),
+    "ltv_cohorts": cohorts.ltv_cohorts,
+    "churn_by_cohort": cohorts.churn_by_cohort,
+    "cohort_overview": cohorts.cohort_overview,
+    "bi_heatmap_totals": cohorts.cohort_heatmap_totals,
 }
 
 
