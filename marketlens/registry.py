@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.operators import advanced, cohorts, dashboard, kpis, quality, written
+from marketlens.operators import advanced, attribution, cohorts, dashboard, kpis, quality, written
 from marketlens.plans.tables import Tables
 from marketlens.sources.adapter import from_testdata
 
@@ -63,6 +63,23 @@ OPERATORS: dict[str, Operator] = {
     "churn_by_cohort": cohorts.churn_by_cohort,
     "cohort_overview": cohorts.cohort_overview,
     "bi_heatmap_totals": cohorts.cohort_heatmap_totals,
+    "journeys": attribution.journey_paths,
+    "attr_last_click": lambda t: attribution.attributed_conversions(t, "last_click"),
+    "attr_first_touch": lambda t: attribution.attributed_conversions(t, "first_touch"),
+    "attr_linear": lambda t: attribution.attributed_conversions(t, "linear"),
+    "attr_time_decay": lambda t: attribution.attributed_conversions(t, "time_decay"),
+    "attr_position": lambda t: attribution.attributed_conversions(t, "position_based"),
+    "attr_compare": attribution.compare_models,
+    "attr_compare_pivot": attribution.compare_pivot,
+    "attr_roi": attribution.attribution_roi,
+    "attr_winners": attribution.attribution_winners,
+    "journey_length": attribution.journey_length,
+    "journey_patterns": attribution.journey_patterns,
+    "conversion_by_length": attribution.conversion_by_length,
+    "time_to_conversion": attribution.time_to_conversion,
+    "bi_attr_touch": attribution.campaign_touch_credit,
+    "bi_channel_efficiency": attribution.channel_efficiency,
+    "bi_journey_flow": attribution.journey_flow,
 }
 
 
