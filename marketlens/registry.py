@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.operators import advanced, attribution, cohorts, dashboard, kpis, quality, written
+from marketlens.operators import (
+    abtest, advanced, attribution, cohorts, dashboard, kpis, quality, written,
+)
 from marketlens.plans.tables import Tables
 from marketlens.sources.adapter import from_testdata
 
@@ -80,6 +82,18 @@ OPERATORS: dict[str, Operator] = {
     "bi_attr_touch": attribution.campaign_touch_credit,
     "bi_channel_efficiency": attribution.channel_efficiency,
     "bi_journey_flow": attribution.journey_flow,
+    "ab_sample_size": abtest.sample_size_plan,
+    "ab_conversion": abtest.ab_conversion,
+    "ab_continuous_welch": abtest.ab_continuous_welch,
+    "ab_welch_p": abtest.ab_welch_p,
+    "ab_mann_whitney": abtest.ab_mann_whitney,
+    "ab_bootstrap_ci": abtest.ab_bootstrap_ci,
+    "ab_power": abtest.ab_power,
+    "ab_normality_gate": abtest.ab_normality_gate,
+    "ab_campaign_analysis": abtest.ab_campaign_analysis,
+    "ab_report": abtest.ab_report,
+    "ab_campaign_roi": abtest.ab_campaign_roi,
+    "ab_z_test": abtest.ab_z_test,
 }
 
 

@@ -1 +1,141 @@
+"""Test statistics; the normal CDF is written out since DuckDB has none."""
+
+from __future__ import annotations
+
+from statistics import NormalDist
+
+from oracles.base import CTES, rnd
+
 STATEMENTS: dict[str, str] = {}
+
+Z = NormalDist().inv_cdf(0.975)
+Z_POWER = NormalDist().inv_cdf(0.8)
+
+
+def _horner(x: str, coefficients: list[str]) -> str:
+    text = coefficients[0]
+    for c in coefficients[1:]:
+        text = f"({text} * {x} + {c})"
+    return text
+
+
+def phi(e: str) -> str:
+    """Standard normal CDF (Hart's approximation as given by West)."""
+    top = _horner("a", ["3.52624965998911e-02", "0.700383064443688", "6.37396220353165", "33.912866078383",
+                        "112.079291497871", "221.213596169931", "220.206867912376"])
+    bottom = _horner("a", ["8.83883476483184e-02", "1.75566716318264", "16.064177579207", "86.7807322029461",
+                           "296.564248779674", "637.333633378831", "793.826512519948", "440.413735824752"])
+    far = "(a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65)))))"
+    tail = (f"CASE WHEN a > 37 THEN 0 WHEN a < 7.07106781186547 THEN exp(-a * a / 2) * {top} / {bottom} "
+            f"ELSE exp(-a * a / 2) / {far} / 2.506628274631 END")
+    return (f"(SELECT CASE WHEN v > 0 THEN 1 - ({tail}) ELSE ({tail}) END "
+            f"FROM (SELECT v, abs(v) AS a FROM (SELECT ({e})::DOUBLE AS v)))")
+
+
+CTES["user_values"] = f"""
+  SELECT p.customer_id, customer_segment, md5(p.customer_id)[1] < '8' AS low, answered,
+    coalesce(answered, false) AS responded, f.customer_id IS NOT NULL AS converted,
+    {rnd('wagered::DOUBLE / nullif(bets, 0)', 6)} AS avg_bet_size,
+    (wagered - payouts - acquisition_cost)::DOUBLE AS customer_ltv,
+    CASE WHEN num_deposits > 0 THEN deposits::DOUBLE END AS total_deposits
+  FROM per_customer p LEFT JOIN first_deposits f USING (customer_id)
+    LEFT JOIN (SELECT customer_id, bool_or(responded) AS answered FROM customer_campaigns GROUP BY 1)
+      USING (customer_id)"""
+
+CTES["rates"] = """
+  SELECT customer_segment, metric, count(*) FILTER (low)::DOUBLE AS nc, count(*) FILTER (NOT low)::DOUBLE AS nt,
+    count(*) FILTER (low AND hit)::DOUBLE AS xc, count(*) FILTER (NOT low AND hit)::DOUBLE AS xt
+  FROM (SELECT customer_segment, low, 'responded' AS metric, responded AS hit FROM user_values
+    UNION ALL SELECT customer_segment, low, 'converted', converted FROM user_values) GROUP BY 1, 2"""
+
+STATEMENTS["ab_conversion"] = f"""
+  WITH a AS (SELECT *, xc / nc AS pc, xt / nt AS pt, nc + nt AS n, xc + xt AS x FROM rates),
+  b AS (
+    SELECT *, pt - pc AS lift, x / n AS pool, greatest(abs(xc - nc * x / n) - 0.5, 0) AS off,
+      sqrt(pc * (1 - pc) / nc + pt * (1 - pt) / nt) AS se FROM a),
+  c AS (
+    SELECT *, off * off * (1 / (nc * pool) + 1 / (nt * pool) + 1 / (nc * (1 - pool)) + 1 / (nt * (1 - pool))) AS chi2,
+      abs(lift) / sqrt(pool * (1 - pool) * (1 / nc + 1 / nt)) AS z FROM b)
+  SELECT customer_segment, metric, {rnd('pc', 6)} AS control_value, {rnd('pt', 6)} AS treatment_value,
+    {rnd('lift', 6)} AS lift, {rnd('lift / pc * 100', 6)} AS lift_pct, {rnd('chi2', 6)} AS chi2,
+    {rnd('2 * ' + phi('-sqrt(chi2)'), 6)} AS p_value, {rnd(f'lift - {Z} * se', 6)} AS ci_lower,
+    {rnd(f'lift + {Z} * se', 6)} AS ci_upper, {rnd('2 * (asin(sqrt(pt)) - asin(sqrt(pc)))', 6)} AS effect_size,
+    {rnd(phi(f'z - {Z}') + ' + ' + phi(f'-z - {Z}'), 6)} AS statistical_power,
+    nc::BIGINT AS sample_size_control, nt::BIGINT AS sample_size_treatment,
+    2 * {phi('-sqrt(chi2)')} < 0.05 AS is_significant
+  FROM c"""
+
+STATEMENTS["ab_z_test"] = f"""
+  SELECT customer_segment, metric, {rnd('xc / nc', 6)} AS control_rate, {rnd('xt / nt', 6)} AS treatment_rate,
+    {rnd('(xt / nt - xc / nc) / sqrt((xc + xt) / (nc + nt) * (1 - (xc + xt) / (nc + nt)) * (1 / nt + 1 / nc))', 6)}
+      AS z_score,
+    {rnd('xt / nt - 1.96 * sqrt(xt / nt * (1 - xt / nt) / nt)', 6)} AS ci_lower
+  FROM rates"""
+
+CTES["measured"] = """
+  SELECT metric, answered AS treated, value FROM user_values
+  UNPIVOT (value FOR metric IN (avg_bet_size, customer_ltv, total_deposits)) WHERE answered IS NOT NULL"""
+
+CTES["arms"] = """
+  SELECT metric, count(*) FILTER (NOT treated)::DOUBLE AS nc, count(*) FILTER (treated)::DOUBLE AS nt,
+    avg(value) FILTER (NOT treated) AS mc, avg(value) FILTER (treated) AS mt,
+    var_samp(value) FILTER (NOT treated) AS vc, var_samp(value) FILTER (treated) AS vt
+  FROM measured GROUP BY 1"""
+
+
+def _power(effect: str) -> str:
+    root = "sqrt(nc * nt / (nc + nt) / 2)"
+    return (f"CASE WHEN abs({effect}) > {Z} / {root} THEN "
+            + phi(f"{root} * abs({effect}) - {Z}") + " ELSE 0.05 END")
+
+
+STATEMENTS["ab_continuous_welch"] = f"""
+  WITH a AS (
+    SELECT *, mt - mc AS lift, vc / nc AS a, vt / nt AS b,
+      (mt - mc) / sqrt(((nc - 1) * vc + (nt - 1) * vt) / (nc + nt - 2)) AS d FROM arms)
+  SELECT metric, {rnd('mc', 6)} AS control_value, {rnd('mt', 6)} AS treatment_value, {rnd('lift', 6)} AS lift,
+    CASE WHEN mc > 0 THEN {rnd('lift / mc * 100', 6)} ELSE 0 END AS lift_pct, {rnd('lift / sqrt(a + b)', 6)} AS t_stat,
+    {rnd('sqrt(a + b)', 6)} AS se, {rnd('(a + b) * (a + b) / (a * a / (nc - 1) + b * b / (nt - 1))', 6)} AS df_welch,
+    nc + nt - 2 AS df_interval, {rnd('d', 6)} AS effect_size, {rnd(_power('d'), 6)} AS statistical_power,
+    nc::BIGINT AS sample_size_control, nt::BIGINT AS sample_size_treatment
+  FROM a"""
+
+STATEMENTS["ab_power"] = f"""
+  SELECT metric, effect, nc::BIGINT AS sample_size_control, nt::BIGINT AS sample_size_treatment,
+    {rnd(_power('effect'), 6)} AS statistical_power
+  FROM (SELECT *, unnest([0.02, 0.05, 0.1, 0.2, 0.5, 1.0])::DOUBLE AS effect FROM arms)"""
+
+STATEMENTS["ab_mann_whitney"] = f"""
+  WITH r AS (
+    SELECT metric, treated, rank() OVER o + (count(*) OVER (PARTITION BY metric, value) - 1) / 2.0 AS rk,
+      count(*) OVER (PARTITION BY metric, value) AS same FROM measured
+    WINDOW o AS (PARTITION BY metric ORDER BY value)),
+  s AS (
+    SELECT metric, count(*) FILTER (treated)::DOUBLE AS n1, count(*) FILTER (NOT treated)::DOUBLE AS n2,
+      (sum(rk) FILTER (treated))::DOUBLE AS r1, sum(same * same - 1)::DOUBLE AS ties FROM r GROUP BY 1),
+  u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u1, n1 + n2 AS n FROM s),
+  z AS (
+    SELECT *, (greatest(u1, n1 * n2 - u1) - n1 * n2 / 2 - 0.5)
+      / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM u)
+  SELECT metric, {rnd('u1', 6)} AS u_statistic, {rnd('z', 6)} AS z_score,
+    {rnd('least(1, 2 * ' + phi('-z') + ')', 6)} AS p_value,
+    n2::BIGINT AS sample_size_control, n1::BIGINT AS sample_size_treatment
+  FROM z"""
+
+STATEMENTS["ab_campaign_roi"] = f"""
+  SELECT {rnd('mt - mc', 6)} AS ltv_lift, 15.0::DOUBLE AS campaign_cost,
+    {rnd('(mt - mc - 15) / 15 * 100', 6)} AS roi_percent
+  FROM arms WHERE metric = 'customer_ltv'"""
+
+_ZZ = (Z + Z_POWER) ** 2
+STATEMENTS["ab_sample_size"] = f"""
+  WITH b AS (
+    SELECT campaign_type, {rnd('count(*) FILTER (responded)::DOUBLE / count(*)', 6)} AS p
+    FROM customer_campaigns JOIN campaigns USING (campaign_id) GROUP BY 1),
+  g AS (SELECT *, unnest([0.05, 0.1, 0.15, 0.2, 0.3, 0.5])::DOUBLE AS x FROM b),
+  m AS (SELECT *, (p + p * (1 + x)) / 2 AS pool, (p * x) * (p * x) AS gap FROM g)
+  SELECT campaign_type, p AS baseline_rate, x AS expected_lift,
+    ceil({_ZZ} * pool * (1 - pool) / gap)::BIGINT AS n_proportion,
+    ceil(2 * {_ZZ} * pool * (1 - pool) / gap)::BIGINT AS n_proportion_two_sample,
+    ceil(2 * {_ZZ} / (x * x))::BIGINT AS n_continuous
+  FROM m WHERE p > 0"""
