@@ -49,7 +49,7 @@ def zero(c: ColumnLike) -> Column:
 def fixed(c: ColumnLike, digits: int) -> Column:
     """Round a binary double half away from zero, without a negative zero."""
     value = col(c).cast("double")
-    return F.round(value + F.signum(value) * F.lit(1e-9), digits) + F.lit(0.0)
+    return F.round(value + F.signum(value) * F.lit(10.0 ** -(digits + 7)), digits) + F.lit(0.0)
 
 
 def ladder(value: ColumnLike, rungs: list[tuple[object, object]], otherwise: object,

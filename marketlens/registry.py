@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlens.operators import (
-    abtest, advanced, attribution, cohorts, dashboard, kpis, quality, written,
+    abtest, advanced, attribution, bi, cohorts, dashboard, kpis, quality, written,
 )
 from marketlens.plans.tables import Tables
 from marketlens.sources.adapter import from_testdata
@@ -94,6 +94,19 @@ OPERATORS: dict[str, Operator] = {
     "ab_report": abtest.ab_report,
     "ab_campaign_roi": abtest.ab_campaign_roi,
     "ab_z_test": abtest.ab_z_test,
+    "bi_headline": bi.headline,
+    "bi_customer_lod": bi.customer_lod,
+    "bi_campaign": bi.campaign_measures,
+    "bi_monthly": bi.monthly,
+    "bi_cohort": bi.cohort,
+    "bi_rfm_lifecycle": bi.rfm_lifecycle,
+    "bi_daily_monitor": bi.daily_monitor,
+    "bi_hourly": bi.hourly,
+    "bi_calendar": bi.calendar,
+    "bi_stats": bi.series_stats,
+    "bi_growth_forecast": bi.growth_forecast,
+    "bi_agg_tables": lambda t: bi.daily_aggregate(t, years=2, active_days=365),
+    "bi_funnel": bi.funnel,
 }
 
 

@@ -1,7 +1,7 @@
 """The six tables over the driver's parquet views, plus shared building blocks.
 
 DuckDB's ROUND works on binary doubles, Spark's on exact decimals. ``rnd`` nudges by
-1e-9 away from zero first so that exact halves go up as they do in decimal arithmetic;
+a ten-millionth of the last digit away from zero first so that exact halves go up as they do in decimal arithmetic;
 ``+ 0.0`` removes a negative zero.
 """
 
@@ -12,7 +12,7 @@ AS_OF = "DATE '2001-11-05'"
 
 def rnd(expression: str, digits: int = 2) -> str:
     value = f"({expression})::DOUBLE"
-    return f"(round({value} + sign({value}) * 1e-9, {digits}) + 0.0)"
+    return f"(round({value} + sign({value}) * 1e-{digits + 7}, {digits}) + 0.0)"
 
 
 def stamp(expression: str) -> str:
