@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlens.operators import (
-    abtest, advanced, attribution, bi, cohorts, dashboard, kpis, quality, written,
+    abtest, advanced, attribution, bi, cohorts, dashboard, kpis, quality, sessions, written,
 )
 from marketlens.plans.tables import Tables
 from marketlens.sources.adapter import from_testdata
@@ -107,6 +107,13 @@ OPERATORS: dict[str, Operator] = {
     "bi_growth_forecast": bi.growth_forecast,
     "bi_agg_tables": lambda t: bi.daily_aggregate(t, years=2, active_days=365),
     "bi_funnel": bi.funnel,
+    "sessionize_bets": sessions.betting_sessions,
+}
+
+# These read the event table itself rather than the six tables.
+EVENT_OPERATORS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "sessionize_anchored": sessions.event_sessions,
+    "sessionize_gap": lambda events: sessions.event_sessions(events, anchored=False),
 }
 
 
@@ -133,3 +140,17 @@ def runner(operator: Operator) -> Callable[[SparkSession, str], DataFrame]:
 
     run.__doc__ = operator.__doc__
     return run
+
+
+def event_runner(operator: Callable[[DataFrame], DataFrame]):
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return portable(operator(spark.read.parquet(f"{folder}/events.parquet")))
+
+    return run
+
+
+def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        **{name: runner(op) for name, op in OPERATORS.items()},
+        **{name: event_runner(op) for name, op in EVENT_OPERATORS.items()},
+    }

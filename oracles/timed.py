@@ -1 +1,48 @@
+"""Session statements, and batch equivalents of the streaming results."""
+
+from __future__ import annotations
+
+from oracles.base import CTES, rnd, stamp
+
 STATEMENTS: dict[str, str] = {}
+
+
+def _anchored(source: str) -> str:
+    """(k, ts, rn, ...) rows ordered by rn: start of the session each row belongs to."""
+    return f"""
+  WITH RECURSIVE ordered AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts, tie) AS rn FROM {source}),
+  walk AS (
+    SELECT k, rn, ts, ts AS start FROM ordered WHERE rn = 1
+    UNION ALL
+    SELECT o.k, o.rn, o.ts, CASE WHEN o.ts - w.start > INTERVAL 7200 SECONDS THEN o.ts ELSE w.start END
+    FROM walk w JOIN ordered o ON o.k = w.k AND o.rn = w.rn + 1)
+  SELECT o.*, start FROM walk JOIN ordered o USING (k, rn)"""
+
+
+_MINUTES = "((epoch_us(max(ts)) - epoch_us(start)) // 60000000)"
+
+CTES["event_walk"] = _anchored("(SELECT user_id AS k, event_id AS tie, ts, event_type, value FROM events)")
+STATEMENTS["sessionize_anchored"] = f"""
+  SELECT k AS user_id, {stamp('start')} AS start_time, {stamp('max(ts)')} AS end_time,
+    {_MINUTES} AS duration_minutes, count(*) AS num_events,
+    count(*) FILTER (event_type = 'purchase') AS purchases, {rnd('sum(value)')} AS total_value
+  FROM event_walk GROUP BY k, start"""
+
+CTES["bet_walk"] = _anchored("(SELECT customer_id AS k, bet_id AS tie, bet_date AS ts, bet_amount, net_result "
+                             "FROM betting_activity)")
+STATEMENTS["sessionize_bets"] = f"""
+  SELECT 'SES-' || k || '-' || strftime(start, '%Y%m%d%H%M%S') AS session_id, k AS customer_id,
+    {stamp('start')} AS start_time, {stamp('max(ts)')} AS end_time, {_MINUTES} AS duration_minutes,
+    count(*) AS num_bets, sum(bet_amount)::DOUBLE AS total_wagered, sum(net_result)::DOUBLE AS net_result
+  FROM bet_walk GROUP BY k, start"""
+
+CTES["event_gaps"] = """
+  SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS island FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 7200 SECONDS
+      THEN 0 ELSE 1 END AS opens FROM events)"""
+STATEMENTS["sessionize_gap"] = f"""
+  SELECT user_id, {stamp('min(ts)')} AS start_time, {stamp('max(ts)')} AS end_time,
+    (epoch_us(max(ts)) - epoch_us(min(ts))) // 60000000 AS duration_minutes, count(*) AS num_events,
+    count(*) FILTER (event_type = 'purchase') AS purchases, {rnd('sum(value)')} AS total_value
+  FROM event_gaps GROUP BY user_id, island"""
