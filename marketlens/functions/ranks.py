@@ -18,16 +18,18 @@ BUCKETS = 64
 
 
 def ranked_values(df: DataFrame, group: Sequence[str], value: str,
-                  extra: Sequence[Column] = (), buckets: int = BUCKETS) -> DataFrame:
+                  extra: dict[str, Column] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Distinct values per group with the count ``n`` of rows holding the value, the
     number ``before`` of rows with a smaller one and the group's ``total`` rows.
 
-    ``extra`` are further aggregates wanted per distinct value.
+    ``extra`` names further summable aggregates; each comes with its own ``before_<name>``.
     """
     group = list(group)
+    extra = extra or {}
+    running = ["n", *extra]
     counts = (
         df.where(F.col(value).isNotNull()).groupBy(*group, value)
-        .agg(F.count("*").alias("n"), *extra)
+        .agg(F.count("*").alias("n"), *[agg.alias(name) for name, agg in extra.items()])
     )
     fractions = [i / buckets for i in range(1, buckets)]
     edges = counts.groupBy(*group).agg(
@@ -43,17 +45,16 @@ def ranked_values(df: DataFrame, group: Sequence[str], value: str,
     cell = [*group, "bucket"]
     earlier = Window.partitionBy(*group).orderBy("bucket").rowsBetween(
         Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy(*cell).agg(F.sum("n").alias("cell_rows"))
-        .select(*cell, F.coalesce(F.sum("cell_rows").over(earlier), F.lit(0)).alias("offset"))
-    )
+    zero = F.lit(0)
+    offsets = placed.groupBy(*cell).agg(*[F.sum(c).alias(c) for c in running]).select(
+        *cell, *[F.coalesce(F.sum(c).over(earlier), zero).alias(f"offset_{c}") for c in running])
     inside = Window.partitionBy(*cell).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        placed.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(offsets, cell)
-        .withColumn("before", F.col("offset") + F.col("inside"))
-        .drop("bucket", "offset", "inside")
-    )
+    summed = placed.withColumns({
+        f"inside_{c}": F.coalesce(F.sum(c).over(inside), zero) for c in running})
+    names = {"n": "before", **{c: f"before_{c}" for c in extra}}
+    return summed.join(offsets, cell).select(
+        *group, value, "n", "total", *extra,
+        *[(F.col(f"offset_{c}") + F.col(f"inside_{c}")).alias(names[c]) for c in running])
 
 
 def quantiles(df: DataFrame, group: Sequence[str], value: str,

@@ -241,7 +241,7 @@ def ab_welch_p(t: Tables) -> DataFrame:
 def mann_whitney(rows: DataFrame) -> DataFrame:
     """Two-sided rank-sum test per metric from distributed average ranks."""
     ranked = ranked_values(
-        rows, ["metric"], "value", [F.count_if(_arm(TREATMENT)).alias("treated")])
+        rows, ["metric"], "value", {"treated": F.count_if(_arm(TREATMENT))})
     n = F.col("n").cast("double")
     agg = ranked.groupBy("metric").agg(
         F.sum("treated").cast("double").alias("n_t"), F.sum("n").cast("double").alias("n_all"),

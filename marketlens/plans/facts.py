@@ -68,6 +68,8 @@ def customer_sessions(t: Tables) -> DataFrame:
         F.count("duration_minutes").alias("timed_sessions"),
         F.sum("num_bets").alias("session_bets"),
         F.count("num_bets").alias("counted_sessions"),
+        F.count_if(F.col("device_type") == "mobile").alias("mobile_sessions"),
+        F.count_if(F.col("device_type") == "desktop").alias("desktop_sessions"),
     )
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlens.operators import (
-    abtest, advanced, attribution, bi, cohorts, dashboard, kpis, quality, sessions, written,
+    abtest, advanced, attribution, bi, cohorts, dashboard, features, kpis, quality, sessions,
+    written,
 )
 from marketlens.plans.tables import Tables
 from marketlens.sources.adapter import from_testdata
@@ -108,6 +109,15 @@ OPERATORS: dict[str, Operator] = {
     "bi_agg_tables": lambda t: bi.daily_aggregate(t, years=2, active_days=365),
     "bi_funnel": bi.funnel,
     "sessionize_bets": sessions.betting_sessions,
+    "feature_matrix": features.feature_matrix,
+    "target_churn": lambda t: features.target(t, "churn"),
+    "target_ltv": lambda t: features.target(t, "ltv"),
+    "target_conversion": lambda t: features.target(t, "conversion"),
+    "split_80_20": features.split_sizes,
+    "classification_report": lambda t: features.classification_report(
+        features.inactivity_predictions(t)),
+    "roc_pr_curves": lambda t: features.curve_points(features.inactivity_predictions(t)),
+    "risk_bands": features.risk_bands,
 }
 
 # These read the event table itself rather than the six tables.
