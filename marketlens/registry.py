@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlens.operators import (
-    abtest, advanced, attribution, bi, cohorts, dashboard, features, kpis, quality, sessions,
+    abtest, advanced, attribution, bi, cohorts, dashboard, features, kpis, models, quality, sessions,
     written,
 )
 from marketlens.plans.tables import Tables
@@ -159,8 +160,58 @@ def event_runner(operator: Callable[[DataFrame], DataFrame]):
     return run
 
 
+class ModelQueries:
+    """Queries over trained models; the three trainings are shared by all of them.
+
+    Trees and rounds are kept low so that the registered set finishes on one machine.
+    """
+
+    def __init__(self, trees: int = 40, rounds: int = 10):
+        self.size = {"trees": trees, "rounds": rounds}
+        self.cache: dict[tuple[str, str, str], models.Trained] = {}
+
+    def trained(self, spark: SparkSession, folder: str, kind: str) -> models.Trained:
+        key = (spark.sparkContext.applicationId, folder, kind)
+        if key not in self.cache:
+            self.cache[key] = models.train(from_testdata(spark, folder), kind, **self.size)
+        return self.cache[key]
+
+    def scores(self, spark: SparkSession, folder: str) -> DataFrame:
+        best = {kind: self.trained(spark, folder, kind).best_model for kind in models.KINDS}
+        return models.risk_scores(from_testdata(spark, folder), best)
+
+    def queries(self) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+        def over(kind: str, use: Callable[[models.Trained, SparkSession], DataFrame]):
+            return lambda spark, folder: portable(use(self.trained(spark, folder, kind), spark))
+
+        def each(use: Callable[[models.Trained, SparkSession], DataFrame]):
+            def run(spark: SparkSession, folder: str) -> DataFrame:
+                parts = [use(self.trained(spark, folder, kind), spark) for kind in models.KINDS]
+                return portable(reduce(DataFrame.unionByName, parts))
+            return run
+
+        return {
+            "train_churn": over("churn", models.model_comparison),
+            "train_ltv": over("ltv", models.model_comparison),
+            "train_conversion": over("conversion", models.model_comparison),
+            "model_comparison": each(models.model_comparison),
+            "feature_importance": each(models.feature_importance),
+            "scale": over("churn", models.scaling),
+            "churn_test_report": over("churn", lambda m, _: models.test_report(m)),
+            "churn_test_curves": over("churn", lambda m, _: models.test_curves(m)),
+            "residuals": over("ltv", lambda m, _: models.residuals(m)),
+            "risk_scores": lambda spark, folder: portable(self.scores(spark, folder)),
+            "risk_distribution": lambda spark, folder: portable(
+                models.risk_distribution(self.scores(spark, folder))),
+        }
+
+
+MODEL_QUERIES = ModelQueries()
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         **{name: runner(op) for name, op in OPERATORS.items()},
         **{name: event_runner(op) for name, op in EVENT_OPERATORS.items()},
+        **MODEL_QUERIES.queries(),
     }
