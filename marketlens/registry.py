@@ -16,6 +16,7 @@ from marketlens.operators import (
 )
 from marketlens.plans.tables import Tables
 from marketlens.sources.adapter import from_testdata
+from marketlens.streaming import streams
 
 Operator = Callable[[Tables], DataFrame]
 
@@ -160,6 +161,23 @@ def event_runner(operator: Callable[[DataFrame], DataFrame]):
     return run
 
 
+# Streams over the event files, driven until everything that has arrived is processed.
+STREAMS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "stream_hourly_kpi": lambda e: streams.run_available(streams.hourly_kpis(e)),
+    "stream_rolling": lambda e: streams.run_available(streams.rolling_revenue(e)),
+    "stream_sessions": lambda e: streams.run_available(streams.gap_sessions(e)),
+    "stream_sessions_anchored": lambda e: streams.run_available(streams.anchored_sessions(e)),
+    "stream_alerts": streams.revenue_alerts,
+}
+
+
+def stream_runner(operator: Callable[[DataFrame], DataFrame]):
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return portable(operator(streams.event_stream(spark, folder, "events.parquet")))
+
+    return run
+
+
 class ModelQueries:
     """Queries over trained models; the three trainings are shared by all of them.
 
@@ -213,5 +231,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         **{name: runner(op) for name, op in OPERATORS.items()},
         **{name: event_runner(op) for name, op in EVENT_OPERATORS.items()},
+        **{name: stream_runner(op) for name, op in STREAMS.items()},
         **MODEL_QUERIES.queries(),
     }
