@@ -220,16 +220,21 @@ def growth_forecast(t: Tables, growth: float = 0.02, periods: int = 12) -> DataF
         .alias("forecast"))
 
 
-def daily_aggregate(t: Tables, years: int = 2, active_days: int | None = None) -> DataFrame:
+def daily_aggregate(t: Tables, years: int = 2, active_days: int | None = None,
+                    whole_months: bool = False) -> DataFrame:
     """Pre-aggregated extract: last ``years`` by day, sport, segment and channel.
 
-    ``active_days`` keeps customers with a bet in that many days before today only.
+    ``active_days`` keeps customers with a bet in that many days before today only;
+    ``whole_months`` starts at the first of the month that the period begins in.
     """
     since = F.add_months(t.today, -12 * years)
-    bets = t.betting_activity.where(F.to_date("bet_date") >= since)
+    since = F.trunc(since, "month") if whole_months else since
+    # compared as instants, so that the bound reaches the file scan
+    midnight = lambda date: date.cast("timestamp_ntz")
+    bets = t.betting_activity.where(F.col("bet_date") >= midnight(since))
     if active_days is not None:
         recent = t.betting_activity.where(
-            F.to_date("bet_date") >= F.date_sub(t.today, active_days)).select("customer_id")
+            F.col("bet_date") >= midnight(F.date_sub(t.today, active_days))).select("customer_id")
         bets = bets.join(recent.distinct(), "customer_id", "left_semi")
     # reduced per customer before the customer attributes are joined
     small = bets.groupBy("customer_id", "sport", day("bet_date").alias("date")).agg(

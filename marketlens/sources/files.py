@@ -78,8 +78,11 @@ def write_data_dictionary(t: Tables, folder: str) -> None:
 
 def write_daily_aggregate(t: Tables, folder: str, years: int = 2,
                           active_days: int | None = None) -> None:
-    """Daily extract partitioned by month; only the months present are replaced."""
-    rows = daily_aggregate(t, years, active_days).withColumn(
+    """Daily extract partitioned by month; only the months present are replaced.
+
+    The extract starts with a whole month, so a replaced month is never a partial one.
+    """
+    rows = daily_aggregate(t, years, active_days, whole_months=True).withColumn(
         "month", F.date_format("date", "yyyy-MM"))
     rows.repartition("month").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("month").parquet(folder)
