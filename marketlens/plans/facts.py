@@ -126,14 +126,17 @@ def customer_bet_profile(t: Tables, recent_days: int = 30) -> DataFrame:
         F.sum(F.col("bet_amount") * F.col("bet_amount")).alias("stake2"),
         F.sum("payout").alias("paid"), F.sum("net_result").alias("net"),
         F.count_if("bet_won").alias("won"),
-        F.min(F.struct("bet_date", "bet_amount")).alias("first"), F.max("bet_date").alias("last"),
+        F.min("bet_date").alias("first"), F.max("bet_date").alias("last"),
+        # a struct buffer forces sort aggregation: kept apart, so it is pruned if unused
+        F.min(F.struct("bet_date", "bet_amount")).alias("first_row"),
     )
     recent = F.col("bet_day") >= F.date_sub(t.today, recent_days)
     total = days.groupBy("customer_id").agg(
         F.sum("n").alias("total_bets"), F.sum("stake").alias("total_wagered"),
         F.sum("stake2").alias("squares"), F.sum("paid").alias("total_payouts"),
         F.sum("net").alias("customer_net_result"), F.sum("won").alias("bets_won"),
-        F.min("first").alias("first"), F.max("last").alias("last_bet_date"),
+        F.min("first").alias("first_bet_date"), F.max("last").alias("last_bet_date"),
+        F.min("first_row").alias("first_row"),
         F.count("*").alias("betting_days"),
         F.sum(F.col("n") * F.col("n")).alias("bets_per_day_squares"),
         F.sum(F.when(recent, F.col("n"))).alias("recent_bets"),
@@ -141,10 +144,10 @@ def customer_bet_profile(t: Tables, recent_days: int = 30) -> DataFrame:
         F.count_if(recent).alias("recent_days"),
     )
     return total.withColumns({
-        "first_bet_date": F.col("first.bet_date"), "first_bet_amount": F.col("first.bet_amount"),
+        "first_bet_amount": F.col("first_row.bet_amount"),
         "bet_size_std": sample_std("total_bets", "total_wagered", "squares"),
         "bets_per_day_std": sample_std("betting_days", "total_bets", "bets_per_day_squares"),
-    }).drop("first")
+    }).drop("first_row")
 
 
 def customer_sports(t: Tables) -> DataFrame:

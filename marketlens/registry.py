@@ -15,7 +15,7 @@ from marketlens.operators import (
     written,
 )
 from marketlens.plans.tables import Tables
-from marketlens.sources.adapter import from_testdata
+from marketlens.sources.adapter import from_testdata, read_events
 from marketlens.streaming import streams
 
 Operator = Callable[[Tables], DataFrame]
@@ -156,7 +156,7 @@ def runner(operator: Operator) -> Callable[[SparkSession, str], DataFrame]:
 
 def event_runner(operator: Callable[[DataFrame], DataFrame]):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return portable(operator(spark.read.parquet(f"{folder}/events.parquet")))
+        return portable(operator(read_events(spark, folder)))
 
     return run
 
