@@ -71,7 +71,7 @@ STATEMENTS["overview_kpis"] = f"""
     (SELECT sum(amount)::DOUBLE FROM transactions WHERE transaction_type = 'deposit') AS total_deposits,
     (SELECT sum(bet_amount)::DOUBLE FROM betting_activity) AS total_wagered,
     (SELECT sum(bet_amount - payout)::DOUBLE FROM betting_activity) AS gross_gaming_revenue,
-    (SELECT {rnd('avg(amount::DOUBLE)', 6)} FROM first_deposits) AS avg_first_deposit)"""
+    (SELECT {rnd('sum(amount)::DOUBLE / count(*)', 6)} FROM first_deposits) AS avg_first_deposit)"""
 
 STATEMENTS["channel_performance"] = f"""
   SELECT acquisition_channel, count(*) AS customers, sum(acquisition_cost)::DOUBLE AS acquisition_cost,
@@ -91,7 +91,7 @@ STATEMENTS["daily_metrics"] = """
 STATEMENTS["dataset_summary"] = f"""
   SELECT (SELECT count(*) FROM customers) AS customers, count(*) AS bets,
     {rnd('(SELECT count(*) FROM first_deposits)::DOUBLE / (SELECT count(*) FROM customers)', 6)} AS conversion_rate,
-    {rnd('avg(bet_amount::DOUBLE)', 6)} AS avg_bet_size, sum(bet_amount)::DOUBLE AS total_volume_wagered
+    {rnd('sum(bet_amount)::DOUBLE / count(*)', 6)} AS avg_bet_size, sum(bet_amount)::DOUBLE AS total_volume_wagered
   FROM betting_activity"""
 
 STATEMENTS["campaign_audience"] = """

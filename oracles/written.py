@@ -62,7 +62,7 @@ STATEMENTS["customer_segmentation_as_written"] = segmentation_columns(f"""(
     SELECT customer_id, any_value(customer_segment) AS customer_segment,
       any_value(acquisition_channel) AS acquisition_channel, any_value(signup_date) AS signup_date,
       count(bet_id) AS bets, coalesce(sum(bet_amount), 0) AS wagered,
-      coalesce(avg(bet_amount::DOUBLE), 0) AS avg_bet, count(DISTINCT session_id) AS sessions,
+      coalesce(sum(bet_amount)::DOUBLE / count(bet_amount), 0) AS avg_bet, count(DISTINCT session_id) AS sessions,
       coalesce(avg(duration_minutes), 0) AS avg_minutes, coalesce(avg(num_bets), 0) AS avg_session_bets,
       coalesce(sum(amount) FILTER {_DEPOSIT}, 0) AS deposits, count(*) FILTER {_DEPOSIT} AS num_deposits,
       max(greatest(bet_date, transaction_date)) AS last_seen
@@ -77,7 +77,7 @@ STATEMENTS["churn_features_sql_as_written"] = churn_columns(f"""(
       count(*) FILTER (transaction_date >= {AS_OF} - INTERVAL 30 DAYS) AS recent_tx, count(bet_id) AS bets,
       count(DISTINCT bet_date::DATE) AS betting_days, count(DISTINCT session_id) AS total_sessions,
       coalesce(sum(bet_amount), 0) AS wagered, coalesce(sum(amount) FILTER {_DEPOSIT}, 0) AS deposits,
-      coalesce(avg(bet_amount::DOUBLE), 0) AS avg_bet, coalesce(avg(duration_minutes), 0) AS avg_minutes,
+      coalesce(sum(bet_amount)::DOUBLE / count(bet_amount), 0) AS avg_bet, coalesce(avg(duration_minutes), 0) AS avg_minutes,
       count(DISTINCT sport) AS sports, stddev_samp(bet_amount::DOUBLE) AS bet_std,
       CASE WHEN count(DISTINCT bet_date::DATE) > 1 THEN stddev_samp(n) / nullif(avg(n), 0) ELSE 0 END AS steady,
       max(greatest(bet_date, transaction_date)) AS last_seen
