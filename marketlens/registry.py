@@ -59,6 +59,7 @@ OPERATORS: dict[str, Operator] = {
     "revenue_cohort_sql": cohorts.revenue_cohort,
     "retention_cohorts": cohorts.retention_cohorts,
     "retention_cohorts_weekly": lambda t: cohorts.retention_cohorts(t, "weekly"),
+    # 84 months: January 1995 to December 2001, all of the test data's calendar
     "retention_matrix": lambda t: cohorts.retention_matrix(t, periods=84),
     "retention_long": cohorts.retention_long,
     "retention_summary": cohorts.retention_summary,
