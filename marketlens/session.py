@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -31,12 +29,30 @@ def build_session(app: str = "marketlens", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a scratch one only if unset."""
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see.
+
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, it lies
+    beneath the warehouse folder on the session's default file system; a local path
+    is only accepted when the executors run on the driver's machine.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{warehouse}/_shared")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    folder = system.makeQualified(path).toString()
+    if folder.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of checkpoints, set on the context where it is not yet."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    folder = configured or tempfile.mkdtemp(prefix="marketlens-")
+    folder = shared_folder(spark)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
