@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import exact_dedup, token_files
+from marketlens.llm import decontaminate, exact_dedup, token_counts, token_files
 from marketlens.llm.shared import table
 
 
@@ -15,12 +15,24 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.classes(table(spark, folder, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.occurrences(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.encode_and_read(
         table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op8_token_files": op8_token_files,
+    "op10_token_counts": op10_token_counts,
 }

@@ -13,6 +13,40 @@ SELECT doc_id,
 FROM d
 """
 
+OP7 = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+iw AS (
+  SELECT item_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+il AS (SELECT item_id, w, least(10, len(w)) AS m FROM iw WHERE len(w) > 0),
+pat AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[k:k + m - 1], ' ') AS s
+  FROM il, unnest(range(1, len(w) - m + 2)) AS u(k)),
+lens AS (SELECT DISTINCT m FROM pat),
+win AS (
+  SELECT doc_id, m, k, array_to_string(w[k:k + m - 1], ' ') AS s
+  FROM dw, lens, unnest(range(1, len(w) - m + 2)) AS u(k)),
+hit AS (SELECT win.doc_id, win.m, win.k, pat.item_id FROM win JOIN pat USING (m, s)),
+marked AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT DISTINCT doc_id, m, k FROM hit), unnest(range(k, k + m)) AS u(p)
+  GROUP BY doc_id),
+listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw d LEFT JOIN marked USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
+
 STATEMENTS: dict[str, str] = {
     "op4_exact_dedup": OP4,
+    "op7_decontaminate": OP7,
 }
