@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import decontaminate, exact_dedup, mixing, token_counts, token_files
+from marketlens.llm import decontaminate, exact_dedup, mixing, pii, token_counts, token_files
 from marketlens.llm.shared import table
 
 
@@ -16,6 +16,10 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(table(spark, folder, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.classes(table(spark, folder, "documents"))
 
@@ -37,6 +41,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op3_pii": op3_pii,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_files": op8_token_files,
