@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,18 @@ SLICE_BYTES = 2_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def per_worker(key: tuple, make: Callable[[], Any]) -> Any:
+    """An object that the tasks of one Python worker share, made when first asked for.
+
+    Functions are sent to workers with their code, module variables included, so what shall
+    outlive a task is kept beside the loaded modules.
+    """
+    kept = sys.modules.setdefault("_marketlens_kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all rows and the offsets between them; null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

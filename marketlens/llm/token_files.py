@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlens.llm.shared import new_folder, partitions, stored
-from marketlens.llm.text import ragged, slices, utf8
+from marketlens.llm.text import LOWER, per_worker, ragged, slices, utf8
 
 MAGIC = b"MLTOKEN1"
 HEAD = "<8siiii"
@@ -40,7 +40,10 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 TAIL = b"\x8f"  # last byte of SEEKABLE, written as the row separator
 SHARD_TOKENS = 2_000_000
 SHARD_DOCS = 50_000
-CACHE = 1_000_000  # pieces whose ids a worker remembers
+CACHE = 800_000  # pieces whose ids a worker remembers
+SLICE = 4_000_000
+# fixed value: the pattern of the tokenizer that is cut into pieces
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def frame(data: bytes, level: int = 3) -> tuple[bytes, bytes]:
@@ -99,11 +102,26 @@ class Shard:
         return np.frombuffer(self._frame(k + 1), f"<u{self.width}").astype(np.uint32)
 
 
+def _byte_kinds() -> np.ndarray:
+    """Blank 0, letter 1, digit 2, sign 3 for ASCII; 4 for apostrophe, control and other."""
+    kind = np.full(256, 4, np.uint8)
+    kind[0x21:0x7F] = 3
+    kind[0x30:0x3A] = 2
+    kind[0x41:0x5B] = kind[0x61:0x7B] = 1
+    kind[0x27] = 4
+    kind[[0x09, 0x0A, 0x0D, 0x20]] = 0
+    return kind
+
+
 class Encoder:
     """Token ids of texts by the tokenizers library, each distinct piece encoded once.
 
-    Where the tokenizer drops white space, blanks bound its tokens, so the ids of a text
-    are those of its pieces between blanks; any other tokenizer gets whole texts.
+    A tokenizer that drops white space, lower-cases and takes letters, single digits and
+    signs apart is given pieces: its tokens never go across a blank, nor from an ASCII
+    letter, digit or sign to one of another kind, nor between digits (an apostrophe may open
+    a contraction, so nothing is cut beside one, nor beside other characters). The ids of a
+    text are those of its pieces. Texts with a special string, and all texts of any other
+    tokenizer, go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -111,49 +129,103 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
-        split = [s for s in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-                 if s["type"] == "Split"]
-        plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"]
-                        for t in spec["added_tokens"])
-        self.by_piece = plain and any(
-            s["behavior"] == "Removed" and s["invert"] and r"[^\s" in s["pattern"].get("Regex", "")
-            for s in split)
+        patterns = [s["pattern"].get("Regex") for s in
+                    (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+                    if s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"]]
+        lowers = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        self.by_piece = lowers == ["NFC", "Replace", "Lowercase"] and patterns == [PIECES]
+        self.special = [t["content"] for t in spec["added_tokens"]]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, np.ndarray] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        self.kinds = _byte_kinds()
+        self.kind_bytes = self.kinds.tobytes()
+        self.known: dict[bytes, int] = {}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.used = 0
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
         got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in got]
+        return [e.ids for e in got]
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.encode(texts)
+        return (np.array([i for own in ids for i in own], np.uint32),
+                np.array([len(own) for own in ids], np.int64))
+
+    def _piece(self, piece: bytes) -> list[int]:
+        """Ids of one piece by the library's own stages.
+
+        A run of ASCII letters or signs comes out of the first two stages as it is.
+        """
+        text = piece.decode()
+        model, kinds = self.tokenizer.model, set(piece.translate(self.kind_bytes))
+        parts = [text] if len(kinds) == 1 and kinds <= {1, 3} else [
+            mapped for mapped, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(
+                self.tokenizer.normalizer.normalize_str(text))]
+        return [token.id for part in parts for token in model.tokenize(part)]
+
+    def _places(self, pieces: list[bytes]) -> np.ndarray:
+        """Numbers of the pieces in the tables; unknown ones are encoded and entered."""
+        at = np.fromiter((self.known.get(p, -1) for p in pieces), np.int64, len(pieces))
+        missing = np.flatnonzero(at < 0)
+        ids = [self._piece(pieces[k]) for k in missing]
+        n, room = len(self.known), len(missing)
+        at[missing] = np.arange(n, n + room)
+        size = np.array([len(i) for i in ids], np.int64)
+        flat = np.array([i for own in ids for i in own], np.uint32)
+        for name, need in (("start", n + room), ("size", n + room), ("flat", self.used + len(flat))):
+            old = getattr(self, name)
+            if len(old) < need:
+                setattr(self, name, np.concatenate([old, np.zeros(need, old.dtype)]))
+        self.size[n:n + room] = size
+        self.start[n:n + room] = self.used + np.cumsum(size) - size
+        self.flat[self.used:self.used + len(flat)] = flat
+        keep = min(room, max(0, CACHE - n))  # what is past the limit is overwritten next time
+        self.known.update(zip([pieces[k] for k in missing[:keep]], range(n, n + keep)))
+        self.used += int(size[:keep].sum())
+        return at
+
+    def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, bounds = utf8(texts)
+        kind = self.kinds[data]
+        before = np.concatenate([[0], kind[:-1]]).astype(np.uint8)
+        own, last = kind * (kind < 4), before * (before < 4)
+        cut = ((own > 0) & (last > 0) & ((own != last) | (own == 2))) | (before == 0)
+        cut[bounds[:-1][bounds[:-1] < len(data)]] = True
+        solid = kind > 0
+        cut &= solid
+        row = np.searchsorted(np.flatnonzero(cut), bounds)  # pieces before each text
+        kept = LOWER[data[solid]]
+        offsets = np.append(np.flatnonzero(cut[solid]), len(kept)).astype(np.int64)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [
+            None, pa.py_buffer(offsets), pa.py_buffer(kept)]).dictionary_encode()
+        place = self._places(coded.dictionary.to_pylist())[
+            coded.indices.to_numpy(zero_copy_only=False)]
+        size = self.size[place]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return self.flat[ragged(self.start[place], size)], np.diff(ends[row])
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows and the number of ids of each row."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not self.by_piece:
-            ids = self.encode(texts.to_pylist())
-            return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.array([len(i) for i in ids])
-        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        bounds = pieces.offsets.to_numpy()
-        coded = pieces.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        if len(self.known) > CACHE:
-            self.known = {}
-        fresh = [n for n in names if n not in self.known]
-        self.known.update(zip(fresh, self.encode(fresh), strict=True))
-        ids = [self.known[n] for n in names]
-        length = np.array([len(i) for i in ids], np.int64)
-        flat = np.concatenate([*ids, np.zeros(0, np.uint32)])
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        size = length[which]
-        out = flat[ragged((np.cumsum(length) - length)[which], size)]
-        ends = np.concatenate([[0], np.cumsum(size)])[bounds - bounds[0]]
-        return out, np.diff(ends)
+            return self.whole(texts.to_pylist())
+        marked = np.zeros(len(texts), bool)
+        for s in self.special:
+            marked |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self.pieces(texts)
+        parts = [self.whole([texts[k].as_py()]) if marked[k] else self.pieces(texts.slice(k, 1))
+                 for k in range(len(texts))]
+        return np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts])
 
 
 def _packer(path: str, end_id: int, shard_tokens: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, number = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder = per_worker(("encoder", path), lambda: Encoder(path))
+        part, number = TaskContext.get().partitionId(), 0
         docs: list[tuple[int | None, bytes]] = []
         tokens = 0
 
@@ -163,7 +235,7 @@ def _packer(path: str, end_id: int, shard_tokens: int):
 
         for batch in batches:
             _, bounds = utf8(batch.column("text"))
-            for lo, hi in slices(bounds):
+            for lo, hi in slices(bounds, SLICE):
                 ids, size = encoder.batch(batch.column("text").slice(lo, hi - lo))
                 ends = np.cumsum(size)
                 for k, doc_id in enumerate(batch.column("doc_id").slice(lo, hi - lo).to_pylist()):
