@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import decontaminate, exact_dedup, jaccard_join, mixing, pii, token_counts, token_files
+from marketlens.llm import decontaminate, exact_dedup, jaccard_join, mixing, pii, quality, token_counts, token_files
 from marketlens.llm.shared import table
 
 
@@ -24,6 +24,11 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.classes(table(spark, folder, "documents"))
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.scores(table(spark, folder, "documents"),
+                          quality.graded(table(spark, folder, "labels")))
+
+
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.occurrences(
         table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_pii": op3_pii,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_quality": op5_quality,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_files": op8_token_files,
     "op9_jaccard_join": op9_jaccard_join,
