@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import decontaminate, exact_dedup, jaccard_join, mixing, pii, quality, token_counts, token_files
+from marketlens.llm import (
+    decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, token_counts,
+    token_files,
+)
 from marketlens.llm.shared import table
 
 
@@ -29,6 +32,10 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
                           quality.graded(table(spark, folder, "labels")))
 
 
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.removals(table(spark, folder, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.occurrences(
         table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -53,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality": op5_quality,
+    "op6_line_dedup": op6_line_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_files": op8_token_files,
     "op9_jaccard_join": op9_jaccard_join,
