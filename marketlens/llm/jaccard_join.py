@@ -182,7 +182,7 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """One text a key: the wanted columns (key and id among them) beside the text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    return rows.join(wanted, F.col("_id").eqNullSafe(F.col("id")))
+    return rows.join(wanted.hint("merge"), F.col("_id").eqNullSafe(F.col("id")))
 
 
 def _alike(other: str) -> Column:
@@ -357,25 +357,41 @@ def classes(docs: DataFrame) -> DataFrame:
     filled = rows.where("key IS NOT NULL")
     texts = filled.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"))
     texts = stored(texts, "texts")
-    single = filled.select("key", "n", "bits", "paths").dropDuplicates(["key"])
-    nodes = single.join(texts, "key").select("key", "id", "n", "bits", F.explode("paths").alias("path"))
-    shared = nodes.groupBy("path").agg(F.count("*").alias("c")).where("c > 1").select("path")
-    members = stored(nodes.join(shared, "path", "left_semi")
-                     .select("path", "key", "id", "n", "bits").distinct(), "buckets")
+    single = stored(filled.select("key", "n", "bits", "paths").dropDuplicates(["key"]), "single")
+    shared = single.select(F.explode("paths").alias("path")).groupBy("path").count().where(
+        "count > 1").select("path")
+    meeting = single.select(F.explode("paths").alias("path"), "key").join(
+        shared, "path", "left_semi").distinct()
+    about = single.select("key", "n", "bits").join(texts.select("key", "id"), "key")
+    members = stored(meeting.join(about, "key").select("path", "key", "id", "n", "bits"), "buckets")
 
     first, rest = _round(members)
     rest = stored(rest, "rest")
     second, rest = _round(rest)
     rest = _crowded(docs, stored(rest, "rest"))
-    mate = rest.select("path", F.struct("key", "n", "bits").alias("mate"))
+    led = stored(first.unionByName(second).distinct(), "pairs")
+    # what two texts of one cluster share is settled in the cluster
+    labels = components(led.select(F.col("key").alias("a"), F.col("other").alias("b")))
+    rest = rest.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
+        "label", F.coalesce("label", "key"))
+    mixed = rest.groupBy("path").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(
+        "lo <> hi").select("path")
+    rest = stored(rest.join(mixed, "path", "left_semi"), "rest")
+    mate = rest.select("path", F.struct("key", "label", "n", "bits").alias("mate"))
     third = rest.join(mate, "path").where(
-        (F.col("key") < F.col("mate.key")) & _sizes_fit(F.col("n"), F.col("mate.n"))
+        (F.col("key") < F.col("mate.key")) & (F.col("label") != F.col("mate.label"))
+        & _sizes_fit(F.col("n"), F.col("mate.n"))
         & (_alike("mate") >= SIMILAR - _slack(F.least("n", "mate.n")))).select(
-        "key", F.col("mate.key").alias("other"))
-    pairs = stored(first.unionByName(second).unionByName(third).distinct(), "pairs")
-    clusters = components(pairs.select(F.col("key").alias("a"), F.col("other").alias("b")))
+        F.col("label").alias("a"), F.col("mate.label").alias("b"))
+    over = components(third.distinct())
+    found = labels.select("node").union(third.select("a")).union(third.select("b")).distinct()
+    clusters = (found.join(labels, "node", "left")
+                .withColumn("label", F.coalesce("label", "node"))
+                .join(over.select(F.col("node").alias("label"), F.col("label").alias("whole")),
+                      "label", "left")
+                .select("node", F.coalesce("whole", "label").alias("cluster")))
     clusters = stored(clusters.join(texts, clusters["node"] == texts["key"]).select(
-        "key", "id", F.col("label").alias("cluster")), "clusters")
+        "key", "id", "cluster"), "clusters")
 
     links = stored(_verified(docs, clusters), "links")
     degrees = links.groupBy("key").agg(F.sum("degree").alias("n_links"))

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.llm import (
-    decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, token_counts,
-    token_files,
+    decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, suffix_dedup,
+    token_counts, token_files,
 )
 from marketlens.llm.shared import table
 
@@ -19,6 +19,10 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.removals(table(spark, folder, "documents"))
+
+
 def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(table(spark, folder, "documents"))
 
@@ -57,6 +61,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_pii": op3_pii,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality": op5_quality,
