@@ -1,9 +1,8 @@
-"""Normal distribution as column expressions; t and Shapiro-Wilk as small helpers.
+"""Normal distribution as column expressions; the t distribution as a small helper.
 
 Spark has no distribution functions. The normal CDF is Hart's rational approximation in
 the form published by West (2005), accurate to double precision and fully JVM-side. The
-t distribution and Shapiro-Wilk run in Arrow batches over one row (or one bounded arm)
-per metric.
+t distribution runs in Arrow batches over one row per metric.
 """
 
 from __future__ import annotations
@@ -116,58 +115,3 @@ def t_quantile(alpha: float, df: ColumnLike) -> Column:
         return pd.Series([t_critical(alpha, d) if d > 0 else math.nan for d in dfs])
 
     return critical(col(df).cast("double"))
-
-
-# Polynomials of Royston's 1995 approximation, lowest power first.
-_ROYSTON_A1 = [0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056]
-_ROYSTON_A2 = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
-_ROYSTON_GAMMA = [-2.273, 0.459]
-_ROYSTON_SMALL_MEAN = [0.5440, -0.39978, 0.025054, -6.714e-4]
-_ROYSTON_SMALL_SD = [1.3822, -0.77857, 0.062767, -0.0020322]
-_ROYSTON_LARGE_MEAN = [-1.5861, -0.31082, -0.083751, 0.0038915]
-_ROYSTON_LARGE_SD = [-0.4803, -0.082676, 0.0030302]
-
-
-def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
-    """W and p of the Shapiro-Wilk test for 3 to 5000 values."""
-    x = np.sort(np.asarray(values, dtype=float))
-    n = len(x)
-    if n < 3 or x[-1] == x[0]:
-        return math.nan, math.nan
-    normal = NormalDist()
-    poly = np.polynomial.polynomial.polyval
-    if n == 3:
-        weights = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
-    else:
-        m = np.array([normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-        total, u = float(m @ m), 1.0 / math.sqrt(n)
-        scaled = m / math.sqrt(total)
-        last = scaled[-1] + poly(u, _ROYSTON_A1)
-        if n <= 5:
-            phi = (total - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-            ends = [last]
-        else:
-            second = scaled[-2] + poly(u, _ROYSTON_A2)
-            phi = (total - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-            ends = [second, last]
-        weights = m / math.sqrt(phi)
-        weights[-len(ends):] = ends
-        weights[:len(ends)] = [-e for e in reversed(ends)]
-    centred = x - x.mean()
-    w = min(1.0, float(weights @ x) ** 2 / float(centred @ centred))
-    if n == 3:
-        p = 6.0 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))
-        return w, max(0.0, p)
-    if w >= 1.0:
-        return w, 1.0
-    y = math.log1p(-w)
-    if n <= 11:
-        gamma = poly(n, _ROYSTON_GAMMA)
-        if y >= gamma:
-            return w, 0.0
-        y = -math.log(gamma - y)
-        mean, sd = poly(n, _ROYSTON_SMALL_MEAN), math.exp(poly(n, _ROYSTON_SMALL_SD))
-    else:
-        at = math.log(n)
-        mean, sd = poly(at, _ROYSTON_LARGE_MEAN), math.exp(poly(at, _ROYSTON_LARGE_SD))
-    return w, 0.5 * math.erfc((y - mean) / sd / math.sqrt(2.0))

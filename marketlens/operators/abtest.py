@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.numbers import exact, fixed, ratio, share
 from marketlens.functions.ranks import ranked_values
 from marketlens.functions.stats import (
-    normal_cdf, shapiro_wilk, t_p_value, t_quantile, two_sided_normal, z_value,
+    normal_cdf, t_p_value, t_quantile, two_sided_normal, z_value,
 )
 from marketlens.plans.facts import attach, customer_value
 from marketlens.plans.tables import Tables
@@ -21,7 +21,6 @@ CONTROL, TREATMENT = "control", "treatment"
 RATE_METRICS = {"responded": "Response Rate", "converted": "Conversion Rate"}
 VALUE_METRICS = {"avg_bet_size": "Average Bet Size", "customer_ltv": "Customer LTV",
                  "total_deposits": "Total Deposits"}
-SHAPIRO_LIMIT = 5000
 
 
 def ab_users(t: Tables, split: str = "hash") -> DataFrame:
@@ -317,37 +316,36 @@ def ab_bootstrap_ci(t: Tables) -> DataFrame:
         (F.col("lift") + F.col("margin")).alias("ci_upper"))
 
 
-def normality_gate(rows: DataFrame, stats: DataFrame, alpha: float = 0.05) -> DataFrame:
+def normality_gate(rows: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Per metric: may the means be compared by t test?
 
-    Arms of 5000 or more users count as normal and never reach Python, so a Python group
-    holds fewer than 5000 values.
+    The Jarque-Bera test of each arm, from its central moments in one aggregate: the same
+    rule at every size, and no group's values are held anywhere. An arm without spread or
+    with fewer than three values is not normal.
     """
-    small = stats.where((F.col("n_c") < SHAPIRO_LIMIT) & (F.col("n_t") < SHAPIRO_LIMIT)).select(
-        "metric")
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, p = shapiro_wilk(pdf["value"].to_numpy())
-        return pd.DataFrame({"metric": [pdf["metric"].iloc[0]], "group": [pdf["group"].iloc[0]],
-                             "w": [w], "p": [p]})
-
-    tested = rows.join(small, "metric", "left_semi").groupBy("metric", "group").applyInPandas(
-        test, "metric string, group string, w double, p double")
+    x, mean = F.col("value").cast("double"), F.col("mean")
+    centre = rows.groupBy("metric", "group").agg(F.avg(F.col("value").cast("double")).alias("mean"))
+    moments = rows.join(centre, ["metric", "group"]).groupBy("metric", "group").agg(
+        F.count("value").alias("n"), *[F.avg(F.pow(x - mean, F.lit(float(k)))).alias(f"m{k}")
+                                       for k in (2, 3, 4)])
+    spread = F.when((F.col("n") > 2) & (F.col("m2") > 0), F.col("m2"))
+    skew, excess = F.col("m3") / F.pow(spread, F.lit(1.5)), F.col("m4") / (spread * spread) - 3
+    jb = F.col("n") / 6 * (skew * skew + excess * excess / 4)
+    # the tail of a chi-square with two degrees of freedom
+    tested = moments.withColumn("jb", jb).withColumn("p", F.exp(-F.col("jb") / 2))
     wide = tested.groupBy("metric").agg(*[
-        F.max(F.when(_arm(arm), F.col(c))).alias(f"{c}_{arm}")
-        for arm in (CONTROL, TREATMENT) for c in ("w", "p")])
-    normal = F.when(F.col("p_control").isNull(), F.col("tested").isNull()).otherwise(
-        (F.col("p_control") > alpha) & (F.col("p_treatment") > alpha))
-    return stats.select("metric", "n_c", "n_t").join(
-        wide.withColumn("tested", F.lit(1)), "metric", "left").select(
-        "metric", F.col("n_c").alias("sample_size_control"),
-        F.col("n_t").alias("sample_size_treatment"), "w_control", "p_control", "w_treatment",
-        "p_treatment", F.coalesce(normal, F.lit(False)).alias("is_normal"))
+        F.max(F.when(_arm(arm), F.col(c))).alias(f"{name}_{arm}")
+        for arm in (CONTROL, TREATMENT)
+        for name, c in (("sample_size", "n"), ("jb", "jb"), ("p", "p"))])
+    normal = (F.col("p_control") > alpha) & (F.col("p_treatment") > alpha)
+    return wide.where("sample_size_control > 0 AND sample_size_treatment > 0").select(
+        "metric", "sample_size_control", "sample_size_treatment", "jb_control", "p_control",
+        "jb_treatment", "p_treatment", F.coalesce(normal, F.lit(False)).alias("is_normal"))
 
 
 def ab_normality_gate(t: Tables) -> DataFrame:
     rows = value_rows(ab_users(t, "response"), list(VALUE_METRICS))
-    return rounded(normality_gate(rows, continuous_stats(rows)))
+    return rounded(normality_gate(rows))
 
 
 # --- whole campaign -----------------------------------------------------------------------
@@ -371,7 +369,7 @@ def campaign_analysis(users: DataFrame, alpha: float = 0.05, replicates: int = 1
     if values:
         rows = value_rows(users, values)
         stats = continuous_stats(rows)
-        gate = normality_gate(rows, stats).select("metric", "is_normal")
+        gate = normality_gate(rows).select("metric", "is_normal")
         ranks = mann_whitney(rows).select("metric", F.col("p_value").alias("p_ranks"))
         boot = bootstrap_margin(rows, alpha, replicates).select(
             "metric", F.col("margin").alias("margin_boot"))

@@ -113,6 +113,25 @@ def retention_matrix(t: Tables, period: str = "monthly", periods: int | None = N
     )
 
 
+def retention_rows(t: Tables, period: str = "monthly") -> DataFrame:
+    """The matrix in a fixed schema: per cohort its rates for periods 0, 1, ... as text.
+
+    Every row has as many rates as the largest period number that occurs, plus one.
+    """
+    observed = retention_cohorts(t, period).select(
+        "cohort_period", "period_number", "retention_rate")
+    cohorts = observed.groupBy("cohort_period").agg(F.lit(1).alias("k"))
+    # one number; the calendar bounds it
+    width = observed.agg(F.max("period_number").cast("int").alias("last"))
+    grid = cohorts.crossJoin(F.broadcast(width)).select(
+        "cohort_period", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("period_number"))
+    cell = F.struct("period_number", F.format_string(
+        "%.6f", zero("retention_rate").cast("double")).alias("rate"))
+    return grid.join(observed, ["cohort_period", "period_number"], "left").groupBy(
+        "cohort_period").agg(F.array_sort(F.collect_list(cell)).alias("cells")).select(
+        "cohort_period", F.array_join("cells.rate", ",").alias("rates"))
+
+
 def retention_summary(t: Tables, checkpoints: tuple[int, ...] = (1, 3, 6)) -> DataFrame:
     """Mean retention at given periods over all cohorts, inactive ones counting as 0."""
     observed = retention_cohorts(t)

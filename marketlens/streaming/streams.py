@@ -2,7 +2,8 @@
 
 Builders take and return streaming frames; ``run_available`` drives one over everything
 that has arrived and hands back the written table. Aggregates use append mode: a window is
-written once, when the watermark has passed its end.
+written once, when the watermark has passed its end. ``run_complete`` closes the stream, so
+that what was still open is written as well.
 """
 
 from __future__ import annotations
@@ -25,18 +26,34 @@ SESSION_GAP = "2 hours"
 SESSION_MICROS = 7200 * 1_000_000
 
 
+END = "end_of_events"  # type of the row that closes a stream
+END_TIME = "9999-01-01 00:00:00"
+FILES_PER_BATCH = 64
+
+
 def event_stream(spark: SparkSession, folder: str, pattern: str = "events*.parquet",
-                 files_per_batch: int | None = None) -> DataFrame:
-    """Event files of a folder as a stream with a watermark on ``ts``."""
+                 files_per_batch: int = FILES_PER_BATCH, end_folder: str | None = None) -> DataFrame:
+    """Event files of a folder as a stream with a watermark on ``ts``.
+
+    A row of type ``END`` that appears in ``end_folder`` moves the watermark past all
+    events, so that open windows and sessions are written; it reaches no result itself.
+    """
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    events = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option(
+        "maxFilesPerTrigger", files_per_batch).parquet(folder)
+    if end_folder:
+        events = events.unionByName(spark.readStream.schema(schema).option(
+            "maxFilesPerTrigger", 1).parquet(end_folder))
     # event time must carry a zone; cents as integers keep sums exact
-    return reader.parquet(folder).withColumns({
+    timed = events.withColumns({
         "ts": F.col("ts").cast("timestamp"),
         "cents": F.round(F.col("value") * 100).cast("bigint"),
     }).withWatermark("ts", WATERMARK)
+    # a type that depends on the time keeps filters on it above the watermark, where the
+    # closing row has done its work
+    kept = F.when(F.col("ts") < F.lit(END_TIME).cast("timestamp"),
+                  F.coalesce("event_type", F.lit(""))).otherwise(F.lit(END))
+    return timed.withColumn("event_type", kept).where(F.col("event_type") != END)
 
 
 def hourly_kpis(events: DataFrame) -> DataFrame:
@@ -150,6 +167,27 @@ def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/table")
 
 
+def run_complete(spark: SparkSession, events: str, start: Callable[[DataFrame, str], DataFrame],
+                 pattern: str = "events*.parquet", folder: str | None = None) -> DataFrame:
+    """The result over an exhausted source, open windows included.
+
+    ``start(stream, folder)`` runs a stream over what has arrived, as ``run_available``
+    does. It runs twice on one checkpoint: over the events, then over the closing rows.
+    """
+    folder = folder or _scratch(spark)
+    end = f"{folder}/end"
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(events).schema
+    closing = spark.range(1).select(*[
+        (F.lit(END_TIME).cast(f.dataType) if f.name == "ts" else
+         F.lit(END if f.name == "event_type" else None).cast(f.dataType)).alias(f.name)
+        for f in schema])
+    closing.where("false").write.mode("ignore").parquet(end)
+    start(event_stream(spark, events, pattern, end_folder=end), folder)
+    for _ in range(2):  # one batch moves the watermark, the next one writes what it has closed
+        closing.coalesce(1).write.mode("append").parquet(end)
+    return start(event_stream(spark, events, pattern, end_folder=end), folder)
+
+
 ALERT_COLUMNS = ("window_start timestamp, revenue double, previous_revenue double, "
                  "change double, alert string")
 
@@ -158,30 +196,36 @@ def revenue_alerts(events: DataFrame, folder: str | None = None) -> DataFrame:
     """Hours whose purchase revenue moved by more than 10 % against the hour before.
 
     Every micro-batch overwrites its own folders, so a batch replayed after a failure
-    leaves the tables as if it had run once. History is one row per hour.
+    leaves the tables as if it had run once. It reads back one row: the last hour written
+    by the batch before.
     """
     spark = events.sparkSession
     folder = folder or _scratch(spark)
     hours = events.where("event_type = 'purchase'").groupBy(F.window("ts", "1 hour")).agg(
         F.sum("cents").alias("cents")).select(
         F.col("window.start").alias("window_start"), "cents")
+    kept = "window_start timestamp, cents bigint"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{folder}/hours/batch={batch_id}")
-        known = session.read.schema("window_start timestamp, cents bigint, batch long").parquet(
-            f"{folder}/hours").where(F.col("batch") <= batch_id)
-        order = Window.orderBy("window_start")
+        last = session.createDataFrame([], kept)
+        if batch_id:
+            last = session.read.schema(kept).parquet(f"{folder}/last/batch={batch_id - 1}")
+        known = last.withColumn("fresh", F.lit(False)).unionByName(
+            batch.withColumn("fresh", F.lit(True)))
+        order = Window.orderBy("window_start")  # the hours that one micro-batch closes
         previous = F.lag("cents").over(order)
         change = ratio(F.col("cents") - previous, previous, 6).cast("double")
         alert = F.when(F.col("change") < -ALERT_THRESHOLD, ALERT_DOWN).when(
             F.col("change") > ALERT_THRESHOLD, ALERT_UP)
-        known.withColumns({"previous": previous, "change": change}).where(
-            F.col("batch") == batch_id).select(
+        known.withColumns({"previous": previous, "change": change}).where("fresh").select(
             "window_start", (F.col("cents") / 100).alias("revenue"),
             (F.col("previous") / 100).alias("previous_revenue"), "change", alert.alias("alert"),
         ).where("alert IS NOT NULL").write.mode("overwrite").parquet(
             f"{folder}/alerts/batch={batch_id}")
+        known.agg(F.max(F.struct("window_start", "cents")).alias("m")).where(
+            "m IS NOT NULL").select("m.*").write.mode("overwrite").parquet(
+            f"{folder}/last/batch={batch_id}")
 
     query = (
         hours.writeStream.outputMode("append").foreachBatch(write)

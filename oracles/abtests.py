@@ -122,6 +122,22 @@ STATEMENTS["ab_mann_whitney"] = f"""
     n2::BIGINT AS sample_size_control, n1::BIGINT AS sample_size_treatment
   FROM z"""
 
+STATEMENTS["ab_normality_gate"] = f"""
+  WITH m AS (
+    SELECT metric, treated, count(*) AS n, avg(power(value - mu, 2)) AS m2, avg(power(value - mu, 3)) AS m3,
+      avg(power(value - mu, 4)) AS m4
+    FROM (SELECT *, avg(value) OVER (PARTITION BY metric, treated) AS mu FROM measured) GROUP BY 1, 2),
+  j AS (
+    SELECT *, CASE WHEN n > 2 AND m2 > 0
+      THEN n / 6.0 * (m3 * m3 / power(m2, 3) + power(m4 / (m2 * m2) - 3, 2) / 4) END AS jb FROM m),
+  w AS (
+    SELECT metric, max(n) FILTER (NOT treated) AS nc, max(n) FILTER (treated) AS nt,
+      max(jb) FILTER (NOT treated) AS jc, max(jb) FILTER (treated) AS jt FROM j GROUP BY 1)
+  SELECT metric, nc AS sample_size_control, nt AS sample_size_treatment, {rnd('jc', 6)} AS jb_control,
+    {rnd('exp(-jc / 2)', 6)} AS p_control, {rnd('jt', 6)} AS jb_treatment, {rnd('exp(-jt / 2)', 6)} AS p_treatment,
+    coalesce(exp(-jc / 2) > 0.05 AND exp(-jt / 2) > 0.05, false) AS is_normal
+  FROM w WHERE nc > 0 AND nt > 0"""
+
 STATEMENTS["ab_campaign_roi"] = f"""
   SELECT {rnd('mt - mc', 6)} AS ltv_lift, 15.0::DOUBLE AS campaign_cost,
     {rnd('(mt - mc - 15) / 15 * 100', 6)} AS roi_percent

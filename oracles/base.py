@@ -44,9 +44,10 @@ def _id(key: str) -> str:
 
 
 def _signup(key: str) -> str:
-    return f"(DATE '1995-01-01' + (({key} * 7) % 1500)::INTEGER)"
+    return f"(DATE '1993-07-01' + (({key} * 7) % 900)::INTEGER)"
 
 
+_DEPOSIT = "(o_orderstatus = 'O' AND o_custkey % 8 <> 0)"
 _SEGMENT = ("CASE c_mktsegment WHEN 'MACHINERY' THEN 'whale' WHEN 'HOUSEHOLD' THEN 'regular' "
             "ELSE 'casual' END")
 
@@ -60,17 +61,14 @@ CTES["customers"] = f"""
     c_custkey % 7 <> 0 AS email_verified, c_custkey % 4 <> 0 AS phone_verified
   FROM customer"""
 
-CTES["kept_orders"] = f"""
-  SELECT * FROM orders WHERE o_orderdate::DATE >= {_signup('o_custkey')}"""
-
 CTES["transactions"] = f"""
   SELECT o_orderkey::VARCHAR AS transaction_id, {_id('o_custkey')} AS customer_id,
-    CASE WHEN o_orderstatus = 'O' THEN 'deposit' ELSE 'withdrawal' END AS transaction_type,
+    CASE WHEN {_DEPOSIT} THEN 'deposit' ELSE 'withdrawal' END AS transaction_type,
     {money('o_totalprice', 1000)} AS amount, o_orderdate AS transaction_date,
     o_orderpriority AS payment_method,
-    o_orderstatus = 'O' AND row_number() OVER (
-      PARTITION BY o_custkey, o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey) = 1 AS is_first_deposit
-  FROM kept_orders"""
+    {_DEPOSIT} AND row_number() OVER (
+      PARTITION BY o_custkey, {_DEPOSIT} ORDER BY o_orderdate, o_orderkey) = 1 AS is_first_deposit
+  FROM orders"""
 
 CTES["betting_activity"] = f"""
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS bet_id,
@@ -80,8 +78,7 @@ CTES["betting_activity"] = f"""
     CASE WHEN l_returnflag = 'R' THEN {money('l_extendedprice * 2', 1000)} ELSE 0::DECIMAL(10,2) END AS payout,
     (CASE WHEN l_returnflag = 'R' THEN {money('l_extendedprice * 2', 1000)} ELSE 0::DECIMAL(10,2) END
       - {money('l_extendedprice', 1000)})::DECIMAL(10,2) AS net_result
-  FROM lineitem JOIN kept_orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
-  WHERE l_shipdate::DATE >= {_signup('o_custkey')} - 30"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"""
 
 CTES["sessions"] = f"""
   SELECT 'SES-' || user_id || '-' || bucket AS session_id, {_id('user_id')} AS customer_id,
@@ -94,28 +91,28 @@ CTES["sessions"] = f"""
         FROM events GROUP BY 1, 2)"""
 
 CTES["campaign_rows"] = """
-  SELECT s_suppkey AS k, 'CAMP_' || lpad((s_suppkey + 1)::VARCHAR, 5, '0') AS campaign_id,
-    ['signup_bonus','retention','engagement','vip'][s_suppkey % 4 + 1] AS campaign_type,
-    DATE '1995-06-01' + (s_suppkey * 70)::INTEGER AS start_date,
-    DATE '1995-06-01' + (s_suppkey * 70 + 7 + s_suppkey % 15)::INTEGER AS end_date,
-    [15.0, 8.5, 10.0, 45.0][s_suppkey % 4 + 1]::DECIMAL(8,2) AS cost_per_customer,
-    [50, 25, 10, 200][s_suppkey % 4 + 1]::DECIMAL(8,2) AS bonus_amount,
-    ['casual,regular,whale','regular,whale','casual,regular,whale','whale'][s_suppkey % 4 + 1] AS target_segments
-  FROM supplier WHERE s_suppkey < 27"""
+  SELECT k, 'CAMP_' || lpad((k + 1)::VARCHAR, 5, '0') AS campaign_id,
+    ['signup_bonus','retention','engagement','vip'][k % 4 + 1] AS campaign_type,
+    DATE '1993-08-01' + (k * 110)::INTEGER AS start_date,
+    DATE '1993-08-01' + (k * 110 + 7 + k % 15)::INTEGER AS end_date,
+    [15.0, 8.5, 10.0, 45.0][k % 4 + 1]::DECIMAL(8,2) AS cost_per_customer,
+    [50, 25, 10, 200][k % 4 + 1]::DECIMAL(8,2) AS bonus_amount,
+    ['casual,regular,whale','regular,whale','casual,regular,whale','whale'][k % 4 + 1] AS target_segments
+  FROM (SELECT n_nationkey::BIGINT AS k FROM nation)"""
 
 CTES["campaigns"] = "SELECT campaign_id AS campaign_name, * EXCLUDE (k) FROM campaign_rows"
 
 CTES["customer_campaigns"] = f"""
   SELECT {_id('c_custkey')} AS customer_id, campaign_id,
     start_date + ((c_custkey + k) % 4)::INTEGER AS sent_date,
-    (c_custkey * 13 + k * 7) % 10 < 3 AS responded,
-    CASE WHEN (c_custkey * 13 + k * 7) % 10 < 3
+    (c_custkey * 13 + k * 7) % 97 < 4 AS responded,
+    CASE WHEN (c_custkey * 13 + k * 7) % 97 < 4
       THEN start_date + (1 + (c_custkey + 3 * k) % 10)::INTEGER END AS response_date,
-    (c_custkey * 13 + k * 7) % 10 < 3 AND (c_custkey + k) % 5 <> 0 AS bonus_claimed,
+    (c_custkey * 13 + k * 7) % 97 < 4 AND (c_custkey + k) % 5 <> 0 AS bonus_claimed,
     cost_per_customer AS campaign_cost
   FROM customer, campaign_rows
   WHERE list_contains(string_split(target_segments, ','), {_SEGMENT})
-    AND {_signup('c_custkey')} <= start_date AND (c_custkey * 31 + k * 17) % 10 < 6"""
+    AND {_signup('c_custkey')} <= start_date"""
 
 CTES["first_deposits"] = """
   SELECT customer_id, transaction_date, amount FROM transactions WHERE is_first_deposit"""

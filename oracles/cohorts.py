@@ -68,9 +68,12 @@ CTES["retention_grid"] = """
     LEFT JOIN retention_month r USING (cohort_period, period_number)"""
 STATEMENTS["retention_long"] = "SELECT * FROM retention_grid"
 
-STATEMENTS["retention_matrix"] = "SELECT cohort_period, " + ", ".join(
-    f"coalesce(max(retention_rate) FILTER (period_number = {i}), 0) AS period_{i}" for i in range(84)
-) + " FROM retention_month GROUP BY 1"
+STATEMENTS["retention_matrix"] = """
+  SELECT c.cohort_period, string_agg(printf('%.6f', coalesce(r.retention_rate, 0)::DOUBLE), ',' ORDER BY p.n) AS rates
+  FROM (SELECT DISTINCT cohort_period FROM retention_month) c
+    CROSS JOIN (SELECT unnest(range((SELECT max(period_number) + 1 FROM retention_month)::BIGINT)) AS n) p
+    LEFT JOIN retention_month r ON r.cohort_period = c.cohort_period AND r.period_number = p.n
+  GROUP BY 1"""
 
 STATEMENTS["retention_summary"] = f"""
   SELECT count(DISTINCT cohort_period) AS cohorts,

@@ -58,7 +58,7 @@ STATEMENTS["dq_domain"] = " UNION ALL ".join([f"""
 
 CTES["picked"] = """
   SELECT customer_id FROM customers WHERE acquisition_channel = 'paid_search'
-    AND signup_date BETWEEN DATE '1996-01-01' AND DATE '1998-06-30'"""
+    AND signup_date BETWEEN DATE '1994-01-01' AND DATE '1995-06-30'"""
 STATEMENTS["filter_customers"] = " UNION ALL ".join(
     f"SELECT '{name}' AS table_name, count(*) AS records FROM {name}"
     + ("" if name == "campaigns" else " SEMI JOIN picked USING (customer_id)") for name, _ in _KEYS)

@@ -48,15 +48,13 @@ STATEMENTS["sessionize_gap"] = f"""
   FROM event_gaps GROUP BY user_id, island"""
 
 
-# A streamed window is written once the watermark, ten minutes behind the newest event,
-# has passed its end.
-CTES["passed"] = "SELECT max(ts) - INTERVAL 10 MINUTES AS mark FROM events"
+# The streams are closed, so they hold what a batch over all events holds.
 
 STATEMENTS["stream_hourly_kpi"] = f"""
   SELECT {stamp('h')} AS window_start, {stamp('h + INTERVAL 1 HOUR')} AS window_end, event_type,
     count(*) AS events, {rnd('sum(value)')} AS total_value
   FROM (SELECT *, date_trunc('hour', ts) AS h FROM events)
-  WHERE h + INTERVAL 1 HOUR <= (SELECT mark FROM passed) GROUP BY h, event_type"""
+  GROUP BY h, event_type"""
 
 STATEMENTS["stream_rolling"] = f"""
   WITH p AS (
@@ -64,23 +62,22 @@ STATEMENTS["stream_rolling"] = f"""
   w AS (SELECT h - to_hours(unnest(range(0, 24))) AS s, value FROM p)
   SELECT {stamp('s')} AS window_start, {stamp('s + INTERVAL 24 HOURS')} AS window_end, count(*) AS purchases,
     {rnd('sum(value)')} AS revenue
-  FROM w WHERE s + INTERVAL 24 HOURS <= (SELECT mark FROM passed) GROUP BY s"""
+  FROM w GROUP BY s"""
 
 STATEMENTS["stream_sessions"] = f"""
   SELECT user_id, {stamp('min(ts)')} AS start_time, {stamp('max(ts)')} AS end_time, count(*) AS num_events,
     {rnd('sum(value)')} AS total_value
-  FROM event_gaps GROUP BY user_id, island
-  HAVING max(ts) + INTERVAL 2 HOURS <= (SELECT mark FROM passed)"""
+  FROM event_gaps GROUP BY user_id, island"""
 
 STATEMENTS["stream_sessions_anchored"] = f"""
   SELECT k AS user_id, {stamp('start')} AS start_time, {stamp('max(ts)')} AS end_time, count(*) AS num_events,
     {rnd('sum(value)')} AS total_value
-  FROM event_walk WHERE start + INTERVAL 2 HOURS < (SELECT mark FROM passed) GROUP BY k, start"""
+  FROM event_walk GROUP BY k, start"""
 
 STATEMENTS["stream_alerts"] = f"""
   WITH h AS (
     SELECT date_trunc('hour', ts) AS h, round(sum(value) * 100)::BIGINT AS cents FROM events
-    WHERE event_type = 'purchase' GROUP BY 1 HAVING h + INTERVAL 1 HOUR <= (SELECT mark FROM passed)),
+    WHERE event_type = 'purchase' GROUP BY 1),
   c AS (SELECT *, lag(cents) OVER (ORDER BY h) AS prev FROM h),
   r AS (SELECT *, {rnd('(cents - prev)::DOUBLE / nullif(prev, 0)', 6)} AS change FROM c)
   SELECT {stamp('h')} AS window_start, cents / 100.0::DOUBLE AS revenue, prev / 100.0::DOUBLE AS previous_revenue, change,

@@ -34,16 +34,6 @@ def test_chi_square_point(spark):
     assert p == pytest.approx(0.05, abs=1e-6)
 
 
-def test_shapiro_wilk_published_example():
-    # Shapiro and Wilk (1965), weights of eleven men: W = 0.79, p below 0.01
-    w, p = stats.shapiro_wilk(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]))
-    assert w == pytest.approx(0.79, abs=0.005) and p < 0.01
-    normal = [NormalDist().inv_cdf((i + 0.5) / 200) for i in range(200)]
-    assert stats.shapiro_wilk(np.array(normal))[1] > 0.9
-    assert stats.shapiro_wilk(np.exp(np.array(normal)))[1] < 1e-6
-    assert math.isnan(stats.shapiro_wilk(np.ones(10))[0])
-
-
 def test_conversion_example(spark):
     counts = spark.createDataFrame(
         [("m", 2000, 2000, 198, 245)], "metric string, n_c long, n_t long, x_c long, x_t long")
@@ -101,10 +91,20 @@ def test_bootstrap_is_repeatable_and_near_theory(spark):
     assert first["mean_difference"] == pytest.approx(means["treatment"] - means["control"], abs=0.02)
 
 
-def test_large_arms_skip_the_normality_test(spark):
-    rows = spark.range(10001).select(
-        F.lit("m").alias("metric"),
-        F.when(F.col("id") % 2 == 0, "control").otherwise("treatment").alias("group"),
-        F.col("id").cast("double").alias("value"))
-    r = abtest.normality_gate(rows, abtest.continuous_stats(rows)).first()
-    assert r["is_normal"] and r["w_control"] is None
+@pytest.mark.parametrize("n", [4999, 5001])
+def test_one_normality_rule_at_every_size(spark, n):
+    def gate(value):
+        rows = spark.range(2 * n).select(
+            F.lit("m").alias("metric"),
+            F.when(F.col("id") % 2 == 0, "control").otherwise("treatment").alias("group"),
+            value.alias("value"))
+        return abtest.normality_gate(rows).first()
+
+    flat = gate(F.col("id").cast("double"))
+    assert not flat["is_normal"] and flat["sample_size_control"] == n
+    # a uniform arm has excess kurtosis -1.2: n / 6 * 1.44 / 4
+    assert flat["jb_control"] == pytest.approx(n * 0.06, rel=1e-3)
+    constant = gate(F.lit(1.0))
+    assert not constant["is_normal"] and constant["jb_control"] is None
+    bell = gate(sum((F.xxhash64("id", F.lit(k)) / 2.0**64 for k in range(50)), F.lit(0.0)))
+    assert bell["p_control"] > 1e-4
