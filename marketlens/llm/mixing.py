@@ -191,17 +191,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     The number of times is taken / size, rounded up or down by a hash of the row so that
     the words expected are those taken; it is at most ``MOST``.
     """
-    keys = {"_id": F.col("doc_id").cast("long"), "_source": F.col("source").cast("string"),
-            "_tie": F.xxhash64("text")}
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    doc_id, source, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "source", "text"))
     rows = taken(docs, weights).where("taken > 0").groupBy("doc_id", "source", "tie").agg(
-        (F.sum("taken") / F.sum("size")).alias("_share"))
-    other = rows.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"),
-                        F.col("tie").alias("_t"), "_share")
-    chance = F.pmod(F.xxhash64("_id", "_tie", F.lit("times")), F.lit(1 << 20)) / (1 << 20)
-    together = docs.withColumns(keys).join(
-        other, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tie") == F.col("_t"))
-        & F.col("_source").eqNullSafe(F.col("_s")))
-    times = F.floor(F.col("_share") + chance).cast("int")
-    return (together.withColumn("_times", times).where("_times > 0")
-            .withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_times"))))
-            .select(*(docs[c] for c in docs.columns)))
+        (F.sum("taken") / F.sum("size")).alias("share"))
+    chance = F.pmod(F.xxhash64(F.col("doc_id"), F.col("tie"), F.lit("times")), F.lit(1 << 20))
+    rows = rows.withColumn("times", F.floor(F.col("share") + chance / (1 << 20)).cast("int")).where(
+        "times > 0")
+    together = plain.join(rows, doc_id.cast("long").eqNullSafe(F.col("doc_id"))
+                          & source.cast("string").eqNullSafe(F.col("source"))
+                          & (F.xxhash64(text) == F.col("tie")))
+    return (together.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
+            .select(*plain.columns).toDF(*docs.columns))
