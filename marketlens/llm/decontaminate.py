@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.shared import stored
+from marketlens.llm.shared import plain_names, stored
 from marketlens.llm.text import LOWER, Hasher, mix, ragged, slices, utf8, words
 
 WINDOW = 10
@@ -243,5 +243,6 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with all its columns, less the rows in which a window of an item occurs."""
-    text = docs.select(F.col("text").alias("text"), F.struct("*").alias("row"))
-    return search(text, items, window).where(F.size("hits") == 0).select("row.*")
+    rows = plain_names(docs)
+    clean = search(rows, items, window).where(F.size("hits") == 0)
+    return clean.select(*rows.columns).toDF(*docs.columns)

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.llm.shared import plain_names
 from marketlens.llm.text import LOWER, WORD_BYTE, Hasher, slices, utf8
 
 BITS = 18
@@ -180,47 +181,48 @@ def train(docs: DataFrame, ratings: DataFrame) -> Model:
     return Model(np.frombuffer(made["weights"], "<f4"), np.array(made["cuts"]), list(made["grades"]))
 
 
-def _scorer(model: Model):
+def _grades(model: Model, texts: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """Expected grades and tail probabilities of the texts."""
     steps = np.diff(model.grades).astype(float)
+    expected, tail = [np.zeros(0)], [np.zeros(0)]
+    for n, row, cell in features(texts, hasher):
+        if len(model.grades) < 2:
+            expected.append(np.full(n, model.grades[0] if model.grades else np.nan))
+            tail.append(np.ones(n))
+            continue
+        tails = model.tails(model.latent(n, row, cell))
+        expected.append(model.grades[0] + tails @ steps)
+        tail.append(tails[:, -1])
+    return np.concatenate(expected), np.concatenate(tail)
+
+
+def scores(docs: DataFrame, ratings: DataFrame, keep: float = KEEP) -> DataFrame:
+    """doc_id, expected_grade, tail_probability, kept for each row of ``docs``."""
+    model = train(docs, ratings)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            expected, tail = [], []
-            for n, row, cell in features(batch.column("text"), hasher):
-                if len(model.grades) < 2:
-                    expected.append(np.full(n, model.grades[0] if model.grades else np.nan))
-                    tail.append(np.ones(n))
-                    continue
-                tails = model.tails(model.latent(n, row, cell))
-                expected.append(model.grades[0] + tails @ steps)
-                tail.append(tails[:, -1])
-            made = [pa.array(np.concatenate([*a, np.zeros(0)]), pa.float64(), from_pandas=True)
-                    for a in (expected, tail)]
-            yield pa.record_batch([*batch.columns, *made],
-                                  [*batch.schema.names, "expected_grade", "tail_probability"])
-
-    return score
-
-
-def _scored(docs: DataFrame, ratings: DataFrame, rows: DataFrame) -> DataFrame:
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_scorer(train(docs, ratings)),
-                           f"{kinds}, expected_grade double, tail_probability double")
+            expected, tail = _grades(model, batch.column("text"), hasher)
+            yield pa.record_batch({
+                "doc_id": batch.column("doc_id"),
+                "expected_grade": pa.array(expected, from_pandas=True),
+                "tail_probability": pa.array(tail), "kept": pa.array(tail >= keep)})
 
-
-def scores(docs: DataFrame, ratings: DataFrame, keep: float = KEEP) -> DataFrame:
-    """doc_id, expected_grade, tail_probability, kept for each row of ``docs``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _scored(docs, ratings, rows).select(
-        "doc_id", "expected_grade", "tail_probability",
-        (F.col("tail_probability") >= keep).alias("kept"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        score, "doc_id long, expected_grade double, tail_probability double, kept boolean")
 
 
 def select(docs: DataFrame, ratings: DataFrame, keep: float = KEEP) -> DataFrame:
     """``docs`` with all its columns, less the rows that are probably below the top grade."""
-    rows = docs.select(F.col("text").alias("text"), F.struct("*").alias("row"))
-    return _scored(docs, ratings, rows).where(F.col("tail_probability") >= keep).select("row.*")
+    model, rows = train(docs, ratings), plain_names(docs)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            yield batch.filter(pa.array(_grades(model, batch.column("text"), hasher)[1] >= keep))
+
+    return rows.mapInArrow(choose, rows.schema).toDF(*docs.columns)
 
 
 def graded(labels: DataFrame) -> DataFrame:

@@ -27,3 +27,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def plain_names(docs: DataFrame) -> DataFrame:
+    """``docs`` with numbered columns, but for ``text``, so that none clashes with added ones."""
+    return docs.toDF(*(c if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)))

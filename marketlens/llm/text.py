@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

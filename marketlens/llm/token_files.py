@@ -40,7 +40,7 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 TAIL = b"\x8f"  # last byte of SEEKABLE, written as the row separator
 SHARD_TOKENS = 2_000_000
 SHARD_DOCS = 50_000
-CACHE = 800_000  # pieces whose ids a worker remembers
+CACHE = 400_000  # pieces whose ids a worker remembers
 SLICE = 4_000_000
 # fixed value: the pattern of the tokenizer that is cut into pieces
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
