@@ -116,25 +116,46 @@ MODELS: dict[str, Callable[[], Column]] = {
 }
 
 
-def credit_cells(t: Tables, half_life: float = HALF_LIFE_DAYS) -> DataFrame:
-    """Converted journeys as customer x channel x day cells with what models need."""
+def weights(first: float = FIRST_WEIGHT, last: float = LAST_WEIGHT
+            ) -> dict[str, Callable[[], Column]]:
+    """The models, with the given weights of the first and the last touch."""
+    return {**MODELS, "position_based": lambda: position_weight(first, last)}
+
+
+ANCHORS = ("last_touch", "conversion")
+
+
+def credit_cells(t: Tables, half_life: float = HALF_LIFE_DAYS,
+                 anchor: str = "last_touch") -> DataFrame:
+    """Converted journeys as customer x channel x day cells with what models need.
+
+    Decay is counted back from the last touch or from the first deposit.
+    """
+    if anchor not in ANCHORS:
+        raise ValueError(f"Unknown anchor: {anchor}. Available: {list(ANCHORS)}")
     cells = touches(t).where("converted").groupBy(
         "customer_id", "channel", "touch_date", "first_deposit_amount").agg(
         F.count("*").alias("n"), F.min("place").alias("lo"), F.max("place").alias("hi"))
     journey = Window.partitionBy("customer_id")
+    end = F.max("touch_date").over(journey)
+    if anchor == "conversion":
+        paid = t.first_deposits.groupBy("customer_id").agg(
+            F.min("transaction_date").cast("date").alias("paid"))
+        cells, end = cells.join(paid, "customer_id"), F.col("paid")
     spread = cells.select(
         "*", F.sum("n").over(journey).alias("touches"),
         (F.col("lo") == F.min("lo").over(journey)).cast("int").alias("has_first"),
         (F.col("hi") == F.max("hi").over(journey)).cast("int").alias("has_last"),
-        F.datediff(F.max("touch_date").over(journey), "touch_date").alias("age_days"))
+        F.datediff(end, "touch_date").alias("age_days"))
     raw = F.col("n") * F.pow(F.lit(2.0), -F.col("age_days") / F.lit(float(half_life)))
     return spread.withColumn("raw", raw).withColumn(
         "decay", F.col("raw") / F.sum("raw").over(journey)).drop("raw", "lo", "hi")
 
 
-def attributed(t: Tables, models: dict[str, Callable[[], Column]]) -> DataFrame:
+def attributed(t: Tables, models: dict[str, Callable[[], Column]],
+               half_life: float = HALF_LIFE_DAYS, anchor: str = "last_touch") -> DataFrame:
     """Credit per model and channel, all models in one pass over the cells."""
-    per_customer = credit_cells(t).groupBy("channel", "customer_id").agg(
+    per_customer = credit_cells(t, half_life, anchor).groupBy("channel", "customer_id").agg(
         F.max("first_deposit_amount").cast("double").alias("value"),
         *[F.sum(weight()).alias(name) for name, weight in models.items()])
     long = per_customer.unpivot(
@@ -148,14 +169,17 @@ def attributed(t: Tables, models: dict[str, Callable[[], Column]]) -> DataFrame:
         fixed(F.try_divide("v", "w"), 4).alias("avg_attributed_value"))
 
 
-def attributed_conversions(t: Tables, model: str = "last_click") -> DataFrame:
+def attributed_conversions(t: Tables, model: str = "last_click", *,
+                           half_life: float = HALF_LIFE_DAYS, anchor: str = "last_touch",
+                           first: float = FIRST_WEIGHT, last: float = LAST_WEIGHT) -> DataFrame:
     if model not in MODELS:
         raise ValueError(f"Unknown model: {model}. Available: {list(MODELS)}")
-    return attributed(t, {model: MODELS[model]}).drop("model")
+    return attributed(t, {model: weights(first, last)[model]}, half_life, anchor).drop("model")
 
 
-def compare_models(t: Tables) -> DataFrame:
-    return attributed(t, MODELS).drop("unique_customers")
+def compare_models(t: Tables, *, half_life: float = HALF_LIFE_DAYS, anchor: str = "last_touch",
+                   first: float = FIRST_WEIGHT, last: float = LAST_WEIGHT) -> DataFrame:
+    return attributed(t, weights(first, last), half_life, anchor).drop("unique_customers")
 
 
 def compare_pivot(t: Tables) -> DataFrame:
@@ -170,12 +194,15 @@ def channel_costs(t: Tables) -> DataFrame:
     return touches(t).groupBy("channel").agg(F.sum("cost").alias("total_cost"))
 
 
-def attribution_roi(t: Tables, model: str | None = None) -> DataFrame:
+def attribution_roi(t: Tables, model: str | None = None, *, half_life: float = HALF_LIFE_DAYS,
+                    anchor: str = "last_touch", first: float = FIRST_WEIGHT,
+                    last: float = LAST_WEIGHT) -> DataFrame:
     """ROI and ROAS per channel for one model, or for all with a model column."""
     if model is not None and model not in MODELS:
         raise ValueError(f"Unknown model: {model}. Available: {list(MODELS)}")
-    chosen = MODELS if model is None else {model: MODELS[model]}
-    joined = attributed(t, chosen).join(channel_costs(t), "channel", "left").withColumn(
+    known = weights(first, last)
+    chosen = known if model is None else {model: known[model]}
+    joined = attributed(t, chosen, half_life, anchor).join(channel_costs(t), "channel", "left").withColumn(
         "total_cost", zero("total_cost").cast("double"))
     paid, value = F.col("total_cost"), F.col("attributed_value")
     guard = lambda c: F.when(paid > 0, fixed(c, 4)).otherwise(0.0)

@@ -151,10 +151,10 @@ def classification_report(predictions: DataFrame, label: str = "label",
         F.count("*").alias("n"))
     sides = cells.select(
         F.explode(F.array(
-            F.struct(F.col("y").alias("class"), F.col("n").alias("support"), F.lit(0).alias("said"),
+            F.struct(F.col("y").alias("class"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("said"),
                      F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("hit")),
             F.struct(F.col("p").alias("class"), F.lit(0).cast("bigint").alias("support"),
-                     F.col("n").cast("int").alias("said"), F.lit(0).cast("bigint").alias("hit")),
+                     F.col("n").alias("said"), F.lit(0).cast("bigint").alias("hit")),
         )).alias("s")).select("s.*")
     d = lambda c: F.col(c).cast("double")
     per_class = sides.groupBy("class").agg(*[

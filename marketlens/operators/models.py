@@ -16,7 +16,7 @@ from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,15 +66,34 @@ def feature_names(matrix: DataFrame, kind: str, leak_free: bool = True) -> list[
     return [c for c in matrix.columns if c not in dropped]
 
 
+# Features that stay NULL in the matrix; a model sees their mean and a flag instead.
+MAY_BE_MISSING = ("age",)
+
+
+def plain_rows(matrix: DataFrame) -> DataFrame:
+    """Decimals as doubles, and a flag for each feature that may be missing."""
+    plain = matrix.select(*[
+        F.col(name).cast("double").alias(name) if dtype.startswith("decimal") else F.col(name)
+        for name, dtype in matrix.dtypes])
+    return plain.withColumns({
+        f"{c}_missing": F.col(c).isNull().cast("double") for c in MAY_BE_MISSING})
+
+
 def prepare_stages(matrix: DataFrame, names: Sequence[str]) -> list:
-    """Index remaining strings, assemble, scale."""
+    """Index remaining strings, fill what may be missing, assemble, scale.
+
+    The means are learned from the rows the stages are fitted on; no row is left out.
+    """
     kinds = dict(matrix.dtypes)
     strings = [c for c in names if kinds[c] == "string"]
     indexers = [StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep")
                 for c in strings]
-    inputs = [f"{c}_index" if c in strings else c for c in names]
-    return [*indexers,
-            VectorAssembler(inputCols=inputs, outputCol="raw_features", handleInvalid="skip"),
+    missing = [c for c in names if c in MAY_BE_MISSING]
+    imputers = [Imputer(inputCols=missing, outputCols=[f"{c}_filled" for c in missing])
+                ] if missing else []
+    inputs = [f"{c}_index" if c in strings else f"{c}_filled" if c in missing else c for c in names]
+    return [*indexers, *imputers,
+            VectorAssembler(inputCols=inputs, outputCol="raw_features", handleInvalid="error"),
             StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)]
 
 
@@ -82,16 +101,16 @@ def classifiers(trees: int, rounds: int, seed: int) -> dict:
     """Two settings of boosted trees take the places of the two boosted libraries."""
     return {
         "RandomForest": RandomForestClassifier(numTrees=trees, seed=seed),
-        "XGBoost": GBTClassifier(maxIter=rounds, maxDepth=6, stepSize=0.3, seed=seed),
+        "BoostedTreesDeep": GBTClassifier(maxIter=rounds, maxDepth=6, stepSize=0.3, seed=seed),
         "LogisticRegression": LogisticRegression(),
-        "GradientBoosting": GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.1, seed=seed),
+        "BoostedTrees": GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.1, seed=seed),
     }
 
 
 def regressors(trees: int, rounds: int, seed: int) -> dict:
     return {
         "RandomForest": RandomForestRegressor(numTrees=trees, seed=seed),
-        "XGBoost": GBTRegressor(maxIter=rounds, maxDepth=6, stepSize=0.3, seed=seed),
+        "BoostedTreesDeep": GBTRegressor(maxIter=rounds, maxDepth=6, stepSize=0.3, seed=seed),
         "Ridge": LinearRegression(regParam=1.0, elasticNetParam=0.0),
         "LinearRegression": LinearRegression(),
     }
@@ -102,9 +121,7 @@ def training_rows(t: Tables, kind: str, seed: int = 42) -> DataFrame:
     matrix = feature_matrix(t, kind)
     if kind == "ltv":
         matrix = matrix.where("has_made_deposit = 1")
-    plain = matrix.select(*[
-        F.col(name).cast("double").alias(name) if dtype.startswith("decimal") else F.col(name)
-        for name, dtype in matrix.dtypes])
+    plain = plain_rows(matrix)
     checkpoint_dir(plain.sparkSession)
     return with_split(plain, seed).withColumn(
         "label", F.col(TARGETS[kind]).cast("double")).checkpoint()
@@ -219,9 +236,7 @@ def risk_scores(t: Tables, models: dict[str, Transformer | None],
     matrix = matrix.join(who, "customer_id")
     # three models read the same features; a written copy also keeps the plans short
     checkpoint_dir(matrix.sparkSession)
-    scored = matrix.select(*[
-        F.col(name).cast("double").alias(name) if dtype.startswith("decimal") else F.col(name)
-        for name, dtype in matrix.dtypes]).checkpoint()
+    scored = plain_rows(matrix).checkpoint()
     outputs = {"churn": ("churn_probability", probability()), "conversion": (
         "conversion_score", probability()), "ltv": ("ltv_prediction", F.col("prediction"))}
     defaults = {"churn": F.lit(None).cast("double"), "conversion": F.lit(0.0), "ltv": F.lit(0.0)}

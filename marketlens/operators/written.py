@@ -24,8 +24,8 @@ from marketlens.plans.tables import Tables
 
 
 def _whole(c: Column) -> Column:
-    """Multiplied counts stay counts."""
-    return c.cast("bigint")
+    """Multiplied counts may pass the range of bigint."""
+    return c.cast("double")
 
 
 def _scale(frame: DataFrame, weight: Column, money: list[str], counts: list[str]) -> DataFrame:

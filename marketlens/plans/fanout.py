@@ -19,8 +19,10 @@ from marketlens.functions.numbers import ColumnLike, col
 
 def copies(*counts: ColumnLike) -> Column:
     """How often a row is repeated by the other facts' row counts."""
-    factors = [F.greatest(F.coalesce(col(c), F.lit(0)), F.lit(1)) for c in counts]
-    return reduce(lambda a, b: a * b, factors).cast("decimal(20,0)")
+    # each factor is widened first: a product of bigints overflows at three million cubed
+    factors = [F.greatest(F.coalesce(col(c), F.lit(0)), F.lit(1)).cast("decimal(38,0)")
+               for c in counts]
+    return reduce(lambda a, b: a * b, factors).cast("decimal(38,0)")
 
 
 def repeated_std(std: ColumnLike, n: ColumnLike, repeats: ColumnLike) -> Column:

@@ -98,3 +98,16 @@ STATEMENTS["campaign_deep_analysis_as_written"] = deep_columns(f"""(
     GROUP BY 1, 2)""")
 
 STATEMENTS["revenue_cohort_sql_as_written"] = revenue_columns(" % 12")
+
+# Multiplied counts may pass the range of bigint, so both sides give doubles.
+_MULTIPLIED = {
+    "customer_ltv_as_written": ("total_bets",),
+    "daily_engagement_as_written": ("deposits_count", "total_bets", "total_sessions",
+                                    "daily_betting_users", "daily_session_users",
+                                    "daily_transacting_users"),
+    "customer_segmentation_as_written": ("num_deposits", "total_bets"),
+    "churn_features_sql_as_written": ("bets_last_30d", "total_bets", "transactions_last_30d"),
+}
+for _name, _columns in _MULTIPLIED.items():
+    _casts = ", ".join(f"{c}::DOUBLE AS {c}" for c in _columns)
+    STATEMENTS[_name] = f"SELECT * REPLACE ({_casts}) FROM ({STATEMENTS[_name]})"
