@@ -200,3 +200,17 @@ def test_value_segments_and_filters(make_tables):
     kept = dashboard.filter_customers(t, channel="affiliate", segment="All")
     assert rows(dashboard.overview_kpis(kept))[0]["total_wagered"] == 1000
     assert math.isclose(rows(bi.daily_monitor(t))[0]["target_achievement"], 0 + 1100 / 500)
+
+
+def test_multiplied_counts_pass_the_range_of_bigint(spark):
+    from marketlens.plans.fanout import copies
+
+    row = spark.createDataFrame([(3_000_000, 3_000_000, 3_000_000)], "a long, b long, c long")
+    assert int(row.select(copies("a", "b", "c").alias("w")).first()["w"]) == 27 * 10**18
+
+
+def test_cohort_in_period_100(make_tables):
+    t = make_tables(customers=[customer()], betting_activity=[bet(1, at="2032-05-02"), bet(2)])
+    line = rows(cohorts.retention_rows(t))[0]["rates"].split(",")
+    assert len(line) == 101 and line[0] == line[100] == "1.000000" and set(line[1:100]) == {"0.000000"}
+    assert "period_100" in cohorts.retention_matrix(t).columns

@@ -102,6 +102,43 @@ def test_models(spark, stored, tmp_path):
     assert models.risk_scores(t, best, some).count() == 3
 
 
+def test_customer_without_age_is_scored(spark, tables):
+    from marketlens.plans.tables import Tables
+
+    people = tables.customers.withColumn("age", F.when(
+        F.col("customer_id") > "CU_000000000010", F.col("age")))
+    frames = {n: getattr(tables, n) for n in Tables.NAMES if n != "customers"}
+    t = Tables(tables.as_of, customers=people, **frames)
+    trained = {k: models.train(t, k, trees=3, rounds=2) for k in models.KINDS}
+    assert "age_missing" in trained["churn"].features
+    scores = models.risk_scores(t, {k: r.best_model for k, r in trained.items() if r.best})
+    assert scores.count() == scores.select("customer_id").distinct().count() == people.count()
+
+
+def test_adapter_reads_whole_tables(spark, tables):
+    assert tables.transactions.count() == spark.read.parquet(f"{SMALL}/orders.parquet").count()
+    assert tables.betting_activity.count() == spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    assert tables.campaigns.count() == spark.read.parquet(f"{SMALL}/nation.parquet").count()
+
+
+def test_attribution_parameters(tables):
+    from marketlens.operators import attribution
+
+    even = {r["channel"]: r["attributed_conversions"] for r in attribution.attributed_conversions(
+        tables, "time_decay", half_life=1e12).collect()}
+    linear = {r["channel"]: r["attributed_conversions"] for r in attribution.attributed_conversions(
+        tables, "linear").collect()}
+    assert even == pytest.approx(linear, abs=1e-4)
+    ends = attribution.attributed_conversions(tables, "position_based", first=1.0, last=0.0)
+    first = attribution.attributed_conversions(tables, "first_touch")
+    key = lambda df: {r["channel"]: r["attributed_conversions"] for r in df.collect()
+                      if r["attributed_conversions"]}
+    assert key(ends) == pytest.approx(key(first), abs=1e-4)
+    a, b = (rows(attribution.compare_models(tables, anchor=x)) for x in attribution.ANCHORS)
+    # the anchor scales all touches of a journey alike
+    assert sorted(map(str, a)) == sorted(map(str, b))
+
+
 def test_weights_sum_to_one_and_models_agree(tables):
     from marketlens.operators import attribution
 
