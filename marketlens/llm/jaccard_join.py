@@ -41,9 +41,10 @@ SIMILAR = 0.8
 DEPTH = 3
 RUNS = 16
 SIGNATURE = 256  # bits
-CROWD = 1000  # texts left in a bucket from which it is split further
+CROWD = 5000  # square root of the pairs from which a bucket is split further: fewer sketch
+# comparisons cost less than another pass over the texts
 TILE = 1024  # texts of one side of an exact comparison
-SLICE = 1_000_000
+SLICE = 300_000
 _C = 0x9E3779B97F4A7C15
 _K1, _K2 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -213,11 +214,29 @@ def _round(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, rest
 
 
-def _crowded(docs: DataFrame, rest: DataFrame) -> DataFrame:
-    """``rest`` with the buckets that are still crowded split on further levels."""
-    for step in range(4):
-        sizes = rest.groupBy("path").count()
-        big = sizes.where(F.col("count") > CROWD).select("path")
+def _mixed(rest: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with the cluster of their text, of the buckets that hold more than one cluster."""
+    known = rest.select("path", "key", "id", "n", "bits").join(
+        labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
+        "label", F.coalesce("label", "key"))
+    paths = known.groupBy("path").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(
+        "lo <> hi").select("path")
+    return known.join(paths, "path", "left_semi")
+
+
+def _counted(rest: DataFrame) -> DataFrame:
+    """Per bucket its largest cluster, and how many pairs of rows lie in different clusters."""
+    sizes = rest.groupBy("path", "label").agg(F.count("*").cast("double").alias("c"))
+    return sizes.groupBy("path").agg(
+        F.max(F.struct("c", "label")).alias("largest"),
+        (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("apart"))
+
+
+def _crowded(docs: DataFrame, rest: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rest``, labelled, with the buckets that are still crowded split on further levels."""
+    rest = stored(_mixed(rest, labels), "rest")
+    for _ in range(4):
+        big = _counted(rest).where(F.col("apart") > CROWD * CROWD).select("path")
         if not big.take(1):
             break
         over = rest.join(big, "path", "left_semi")
@@ -228,7 +247,9 @@ def _crowded(docs: DataFrame, rest: DataFrame) -> DataFrame:
             _deeper, "key binary, paths array<long>")
         again = split.select("key", F.explode("paths").alias("path")).distinct().join(
             known.select("key", "own.*"), "key").select("path", "key", "id", "n", "bits")
-        rest = stored(rest.join(big, "path", "left_anti").unionByName(again), f"paths-{step}")
+        rest = rest.select("path", "key", "id", "n", "bits")
+        rest = rest.join(big, "path", "left_anti").unionByName(again)
+        rest = stored(_mixed(rest, labels), "rest")
     return rest
 
 
@@ -368,18 +389,15 @@ def classes(docs: DataFrame) -> DataFrame:
     first, rest = _round(members)
     rest = stored(rest, "rest")
     second, rest = _round(rest)
-    rest = _crowded(docs, stored(rest, "rest"))
     led = stored(first.unionByName(second).distinct(), "pairs")
     # what two texts of one cluster share is settled in the cluster
     labels = components(led.select(F.col("key").alias("a"), F.col("other").alias("b")))
-    rest = rest.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
-        "label", F.coalesce("label", "key"))
-    mixed = rest.groupBy("path").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(
-        "lo <> hi").select("path")
-    rest = stored(rest.join(mixed, "path", "left_semi"), "rest")
+    rest = _crowded(docs, rest, labels)
+    # the largest cluster of a bucket meets the others, which meet one another as well
+    fewer = rest.join(_counted(rest).select("path", "largest.label"), ["path", "label"], "left_anti")
     mate = rest.select("path", F.struct("key", "label", "n", "bits").alias("mate"))
-    third = rest.join(mate, "path").where(
-        (F.col("key") < F.col("mate.key")) & (F.col("label") != F.col("mate.label"))
+    third = fewer.join(mate, "path").where(
+        (F.col("label") != F.col("mate.label"))
         & _sizes_fit(F.col("n"), F.col("mate.n"))
         & (_alike("mate") >= SIMILAR - _slack(F.least("n", "mate.n")))).select(
         F.col("label").alias("a"), F.col("mate.label").alias("b"))
