@@ -37,7 +37,7 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.removals(table(spark, folder, "documents"))
+    return line_dedup.removals(table(spark, folder, "documents"), passages=True)
 
 
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:

@@ -278,6 +278,36 @@ def test_line_dedup(docs, clashing, small):
     assert line_dedup.removals(empty(docs)).count() == 0
 
 
+def test_line_dedup_passages(spark):
+    """Planted passages of 2 to 8 lines go whole, once; lines shared alone or in short runs stay."""
+    r = random.Random(3)
+
+    def made(n, words=30):
+        return [" ".join(f"w{r.randrange(10**6)}" for _ in range(words)) for _ in range(n)]
+
+    planted = [made(2 + p % 7) for p in range(40)]
+    line, brief = made(1, 80), made(3, 5)
+    data, want = [], {}
+    for i in range(120):
+        first, own, last = made(1 + i % 3), planted[i % 40], made(2)
+        data.append((i, "\n".join(first + own + last + line + made(1) + brief + made(1))))
+        want[i] = [x for x in data[i][1].split("\n") if i < 40 or x not in own]
+    frame = spark.createDataFrame(data + [(None, data[0][1]), (7, data[7][1])], "doc_id long, text string")
+    got = [(x["doc_id"], x["text"]) for x in line_dedup.deduplicate(frame, passages=True).collect()]
+    told = {x["doc_id"]: x for x in line_dedup.removals(frame, passages=True).collect()}
+    chunked = {x["doc_id"]: x for x in line_dedup.removals(frame).collect()}
+    assert len(got) == 122
+    for i, text in got:
+        assert told[i]["kept_bytes"] == len((text or "").encode())
+        if i is None:
+            assert text == "" and told[i]["removed_lines"] == told[i]["n_lines"]
+        elif told[i]["n_removed"] == 0:
+            assert text.split("\n") == want[i]
+        assert not i or i < 40 or not set(planted[i % 40]) & set(text.split("\n"))
+        assert all(told[i][c] == chunked[i][c] for c in ("n_lines", "n_chunks", "n_removed"))
+    assert line_dedup.removals(empty(frame), passages=True).count() == 0
+
+
 @pytest.mark.parametrize("block", [8_000_000, 150])
 def test_decontaminate(docs, clashing, items, block):
     got = decontaminate.search(docs.select("doc_id", "text"), items, block_chars=block).collect()
