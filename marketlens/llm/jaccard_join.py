@@ -13,7 +13,8 @@ Inside a bucket, sketches of 256 bits tell which pairs may be similar; their bar
 four standard deviations. The smallest text of a bucket is compared with all; texts surely
 near it are settled, since what is similar to them lies in its reach. After two such rounds
 the rest are compared with one another; a bucket in which many are left is split on two
-more levels first, again and again. The pairs found make clusters. In a cluster, whole sets
+more levels first, again and again, each time by ``AGAIN`` independent trees: a pair at the
+threshold parts in all of them with probability 0.001 (equal sizes) to 0.003. The pairs found make clusters. In a cluster, whole sets
 are compared exactly: all pairs, in tiles of bounded size, so every link between different
 texts is counted, and each tile gives back degrees and a spanning forest, never its pairs.
 
@@ -43,6 +44,7 @@ RUNS = 16
 SIGNATURE = 256  # bits
 CROWD = 5000  # square root of the pairs from which a bucket is split further: fewer sketch
 # comparisons cost less than another pass over the texts
+AGAIN = 8  # independent trees by which a crowded bucket is split
 TILE = 1024  # texts of one side of an exact comparison
 SLICE = 300_000
 _C = 0x9E3779B97F4A7C15
@@ -166,7 +168,10 @@ def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes = part.column("paths")
             count = np.diff(nodes.offsets.to_numpy())
             node = nodes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            row, path = descend(values, size, np.repeat(np.arange(len(size)), count), node, 2)
+            start = np.repeat(np.arange(len(size)), count)
+            got = [descend(values, size, start, mix(node * _K2 + np.uint64(tree + 1)), 2)
+                   for tree in range(AGAIN)]
+            row, path = (np.concatenate(x) for x in zip(*got, strict=True))
             yield pa.record_batch({"key": _keys(values, size),
                                    "paths": _lists(row, path, len(size))})
 

@@ -420,6 +420,25 @@ def test_jaccard_recall(spark):
     assert all(got[i] == told[i] for i in told if not told[i][2])
 
 
+def test_jaccard_crowded_bucket_keeps_pairs():
+    """Pairs at the threshold that share a bucket share one of its parts too, sizes equal or not."""
+    import numpy as np
+    import pyarrow as pa
+
+    r, pairs = random.Random(4), []
+    for p in range(300):
+        own = [f"p{p}w{k}" for k in range(104)]
+        other = own[:84] if p % 2 else [*own[:92], *(f"q{p}x{k}" for k in range(12))]
+        pairs += [" ".join(own), " ".join(other)]
+    node = [[r.randrange(2**62)] for _ in range(300) for _ in (0, 1)]
+    for k in range(300):
+        node[2 * k + 1] = node[2 * k]
+    batch = pa.record_batch({"text": pa.array(pairs), "paths": pa.array(node, pa.list_(pa.int64()))})
+    paths = [x for out in jaccard_join._deeper(iter([batch])) for x in out.column("paths").to_pylist()]
+    met = np.array([bool(set(paths[2 * k]) & set(paths[2 * k + 1])) for k in range(300)])
+    assert met.mean() >= 0.98
+
+
 def test_token_counts(spark, docs, clashing, small):
     tokenizer = Tokenizer.from_file(BYTE_BPE)
     r = random.Random(1)
