@@ -10,7 +10,8 @@ to 0.37 (one set holds the other), so ``RUNS`` runs miss it with probability 0.0
 0.0006: the target recall is 0.999.
 
 Inside a bucket, sketches of 256 bits tell which pairs may be similar; their bars leave
-four standard deviations. The smallest text of a bucket is compared with all; texts surely
+four standard deviations. Sets of fewer than ``SHORT`` shingles would fill too few of the
+256 bins, so their bits come from 256 independent hashes, and their bars leave five. The smallest text of a bucket is compared with all; texts surely
 near it are settled, since what is similar to them lies in its reach. After two such rounds
 the rest are compared with one another; a bucket in which many are left is split on two
 more levels first, again and again, each time by ``AGAIN`` independent trees: a pair at the
@@ -42,6 +43,7 @@ SIMILAR = 0.8
 DEPTH = 3
 RUNS = 16
 SIGNATURE = 256  # bits
+SHORT = 256  # shingles below which a pair is compared by independent hashes
 CROWD = 5000  # square root of the pairs from which a bucket is split further: fewer sketch
 # comparisons cost less than another pass over the texts
 AGAIN = 8  # independent trees by which a crowded bucket is split
@@ -129,6 +131,32 @@ def sketches(values: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.packbits(filled, 1).view(np.int64)
 
 
+def independent(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """One bit of the least hash by each of 256 functions; no set may be empty."""
+    first = np.cumsum(size) - size
+    bits = np.empty((len(size), SIGNATURE), np.uint8)
+    for k, seed in enumerate(mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * _K2)):
+        h = (values ^ seed) * _K1
+        h ^= h >> np.uint64(32)
+        h *= _K2
+        bits[:, k] = (np.minimum.reduceat(h, first) >> np.uint64(20)) & np.uint64(1)
+    return np.packbits(bits, 1).view(np.int64)
+
+
+def all_bits(values: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Bits by bins of the sets from ``SHORT`` on, then independent ones of all sets that are
+    short or may be similar to a short one."""
+    parts = []
+    for rows, make in ((np.flatnonzero((size >= SHORT) | (size == 0)), sketches),
+                       (np.flatnonzero((size > 0) & (size < SHORT / SIMILAR)), independent)):
+        if len(rows):
+            at = ragged((np.cumsum(size) - size)[rows], size[rows])
+            bits = make(values[at], size[rows])
+            parts.append((np.repeat(rows, bits.shape[1]), bits.ravel()))
+    row, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return _lists(row, value, len(size))
+
+
 def _lists(row: np.ndarray, value: np.ndarray, n: int) -> pa.Array:
     order = np.argsort(row, kind="stable")
     ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
@@ -153,11 +181,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
     for batch in batches:
         for part, values, size in _sets(batch, hasher):
-            bits = sketches(values, size)
             yield pa.record_batch({
                 "doc_id": part.column("doc_id"), "key": _keys(values, size),
                 "n": pa.array(size, pa.int64()),
-                "bits": _lists(np.repeat(np.arange(len(size)), bits.shape[1]), bits.ravel(), len(size)),
+                "bits": all_bits(values, size),
                 "paths": _lists(*all_paths(values, size), len(size))})
 
 
@@ -192,15 +219,23 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _alike(other: str) -> Column:
-    """Estimated similarity of a row and the sketch in ``other``."""
-    apart = sum(F.bit_count(F.col("bits")[k].bitwiseXOR(F.col(f"{other}.bits")[k]))
-                for k in range(SIGNATURE // 64))
+    """Estimated similarity of a row and the sketch in ``other``: by the last words of both if
+    one is short (sizes that do not fit are not alike), else by the first."""
+    long, width = F.least("n", f"{other}.n") >= SHORT, SIGNATURE // 64
+
+    def word(bits: Column, k: int) -> Column:
+        return F.get(bits, F.when(long, k).otherwise(F.size(bits) - width + k))
+
+    apart = sum(F.bit_count(word(F.col("bits"), k).bitwiseXOR(word(F.col(f"{other}.bits"), k)))
+                for k in range(width))
     return 1 - 2 * apart / SIGNATURE
 
 
-def _slack(n: Column) -> Column:
-    """Four standard deviations of the estimate for sets of n shingles."""
-    return 4 * F.sqrt(0.16 * (2 / SIGNATURE + 1 / n))
+def _slack(n: Column, at: float) -> Column:
+    """Four (short sets: five) standard deviations of the estimate for sets of n shingles that
+    are similar by ``at``."""
+    return F.when(n < SHORT, 5 * ((1 - at * at) / SIGNATURE) ** 0.5).otherwise(
+        4 * F.sqrt(0.16 * (2 / SIGNATURE + 1 / n)))
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
@@ -211,11 +246,11 @@ def _round(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs with the first text of each bucket, and the rows that it does not settle."""
     lead = rows.groupBy("path").agg(F.min(F.struct("id", "key", "n", "bits")).alias("lead"),
                                     F.count("*").alias("crowd")).where("crowd > 1")
-    slack, alike = _slack(F.least("n", "lead.n")), _alike("lead")
+    least, alike = F.least("n", "lead.n"), _alike("lead")
     near = rows.join(lead, "path").where("key <> lead.key").withColumn("alike", alike)
-    pairs = near.where(F.col("alike") >= 0.49 - slack).select(
+    pairs = near.where(F.col("alike") >= 0.49 - _slack(least, 0.49)).select(
         "key", F.col("lead.key").alias("other"))
-    rest = near.where(F.col("alike") < 0.69 + slack).select("path", "key", "id", "n", "bits")
+    rest = near.where(F.col("alike") < 0.69 + _slack(least, 0.69)).select("path", "key", "id", "n", "bits")
     return pairs, rest
 
 
@@ -404,7 +439,7 @@ def classes(docs: DataFrame) -> DataFrame:
     third = fewer.join(mate, "path").where(
         (F.col("label") != F.col("mate.label"))
         & _sizes_fit(F.col("n"), F.col("mate.n"))
-        & (_alike("mate") >= SIMILAR - _slack(F.least("n", "mate.n")))).select(
+        & (_alike("mate") >= SIMILAR - _slack(F.least("n", "mate.n"), SIMILAR))).select(
         F.col("label").alias("a"), F.col("mate.label").alias("b"))
     over = components(third.distinct())
     found = labels.select("node").union(third.select("a")).union(third.select("b")).distinct()

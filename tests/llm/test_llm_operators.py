@@ -439,6 +439,26 @@ def test_jaccard_crowded_bucket_keeps_pairs():
     assert met.mean() >= 0.98
 
 
+@pytest.mark.parametrize("n", [4, 9, 18, 72, 250])
+def test_jaccard_sketches_of_short_sets(spark, n):
+    """The last comparison keeps pairs at the threshold, whatever their size."""
+    import numpy as np
+
+    r, pairs = np.random.default_rng(n), 1500
+    more = n + n // 4 if n % 4 == 0 else n  # one set holds the other, or sizes are equal
+    shared = n if more > n else -(-8 * n // 9)
+    rows = []
+    for _ in range(pairs):
+        v = r.integers(0, 2**63, 2 * more, dtype=np.uint64)
+        rows += [v[:n], np.concatenate([v[:shared], v[n:n + more - shared]])]
+    bits = jaccard_join.all_bits(np.concatenate(rows), np.array([len(x) for x in rows])).to_pylist()
+    schema = "n long, bits array<long>, mate struct<n long, bits array<long>>"
+    frame = spark.createDataFrame([(len(rows[2 * k]), bits[2 * k], (len(rows[2 * k + 1]), bits[2 * k + 1]))
+                                   for k in range(pairs)], schema)
+    bar = jaccard_join.SIMILAR - jaccard_join._slack(F.least("n", "mate.n"), jaccard_join.SIMILAR)
+    assert frame.where(jaccard_join._alike("mate") < bar).count() <= 1
+
+
 def test_token_counts(spark, docs, clashing, small):
     tokenizer = Tokenizer.from_file(BYTE_BPE)
     r = random.Random(1)
