@@ -182,7 +182,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, values, size in _sets(batch, hasher):
             yield pa.record_batch({
-                "doc_id": part.column("doc_id"), "key": _keys(values, size),
+                "doc_id": part.column("doc_id"), "tie": part.column("tie"), "key": _keys(values, size),
                 "n": pa.array(size, pa.int64()),
                 "bits": all_bits(values, size),
                 "paths": _lists(*all_paths(values, size), len(size))})
@@ -407,14 +407,24 @@ def _verified(docs: DataFrame, clusters: DataFrame) -> DataFrame:
             .mapInArrow(_tiles, "key binary, other binary, degree long"))
 
 
+def _tie(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, class_rows, n_links, n_shingles for each row of ``docs``.
 
     ``class_id`` is the least id among the rows that are linked, directly or through others;
     ``n_links`` is the number of different texts to which the row's text is linked.
     """
-    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _scan, "doc_id long, key binary, n long, bits array<long>, paths array<long>"), "sets")
+    return _classes(docs).drop("tie")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """The columns of ``classes``, and tie (hash of the text)."""
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tie(F.col("text")).alias("tie"),
+                              "text").mapInArrow(
+        _scan, "doc_id long, tie long, key binary, n long, bits array<long>, paths array<long>"), "sets")
     filled = rows.where("key IS NOT NULL")
     texts = filled.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"))
     texts = stored(texts, "texts")
@@ -462,8 +472,8 @@ def classes(docs: DataFrame) -> DataFrame:
     per_text = stored(known.join(whole, "label").select(
         "key", "class_id", "class_rows", "n_links"), "classes")
     zero = F.lit(0).cast("long")
-    return rows.select("doc_id", "key", "n").join(per_text, "key", "left").select(
-        "doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    return rows.select("doc_id", "tie", "key", "n").join(per_text, "key", "left").select(
+        "doc_id", "tie", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
         .alias("class_id"), F.coalesce("class_rows", F.lit(1).cast("long")).alias("class_rows"),
         F.coalesce("n_links", zero).alias("n_links"), F.col("n").alias("n_shingles"))
 
@@ -472,9 +482,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns, less the rows whose class another row stands for.
 
     The row with the least id of a class stays. Rows without shingles or without id stay,
-    and so do rows that repeat an id that stays.
+    and so do rows whose id is that of their class. Rows that repeat an id with another text
+    are decided on their own.
     """
-    gone = classes(docs).groupBy("doc_id").agg(
-        F.min(F.col("doc_id") == F.col("class_id")).alias("stays")).where("NOT stays")
-    gone = gone.select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    gone = _classes(docs).where("doc_id <> class_id").select(
+        F.col("doc_id").alias("_gone"), F.col("tie").alias("_gone_tie")).distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["_gone"])
+                     & (_tie(docs["text"]) == gone["_gone_tie"]), "left_anti")

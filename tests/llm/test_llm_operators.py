@@ -459,6 +459,14 @@ def test_jaccard_sketches_of_short_sets(spark, n):
     assert frame.where(jaccard_join._alike("mate") < bar).count() <= 1
 
 
+def test_jaccard_deduplicate_repeated_ids(spark):
+    """An id with two texts loses only the row that another row stands for."""
+    a, b = (" ".join(f"{c}{k}" for k in range(100)) for c in "ab")
+    data = [(3, a), (5, a + " tail"), (5, b), (8, b + " tail"), (5, None), (None, a)]
+    kept = jaccard_join.deduplicate(spark.createDataFrame(data, "doc_id long, text string"))
+    assert {(r["doc_id"], r["text"]) for r in kept.collect()} == {(3, a), (5, b), (5, None), (None, a)}
+
+
 def test_token_counts(spark, docs, clashing, small):
     tokenizer = Tokenizer.from_file(BYTE_BPE)
     r = random.Random(1)
