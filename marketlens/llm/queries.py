@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.llm import (
-    decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, suffix_dedup,
-    token_counts, token_files,
+    decontaminate, exact_dedup, jaccard_join, line_dedup, merkle, mixing, pii, quality,
+    suffix_dedup, token_counts, token_files,
 )
 from marketlens.llm.shared import table
 
@@ -59,6 +59,10 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verify(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -70,4 +74,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_counts": op10_token_counts,
+    "op13_merkle": op13_merkle,
 }
