@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.llm import (
-    decontaminate, exact_dedup, jaccard_join, line_dedup, merkle, mixing, periodic_runs, pii,
-    quality, suffix_dedup, token_counts, token_files,
+    decontaminate, exact_dedup, jaccard_join, line_dedup, lm_scoring, merkle, mixing,
+    periodic_runs, pii, quality, suffix_dedup, token_counts, token_files,
 )
 from marketlens.llm.shared import table
 
@@ -59,6 +59,11 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.scores(
+        table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.summary(periodic_runs.runs(
         periodic_runs.looped(table(spark, folder, "documents"))))
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_counts": op10_token_counts,
+    "op11_lm_scoring": op11_lm_scoring,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_merkle": op13_merkle,
 }
