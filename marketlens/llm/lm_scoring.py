@@ -28,12 +28,14 @@ table gives an empty result.
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.llm.periodic_runs import words
@@ -48,14 +50,32 @@ LEAST = 0.01  # expected uses that every piece has
 TOGETHER = 50_000  # words whose lattices are walked side by side
 
 BLOCKS = ("block long, ids array<long>, held array<boolean>, words array<string>, uses array<long>, "
-          "hashes array<long>, times array<long>, word_of binary, stretch_of binary, stretch_ends binary, "
-          "doc_ends binary")
+          "hashes array<long>, times array<long>, texts binary")
 
 
 def _listed(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of small numbers, each in the narrowest type that holds it, compressed."""
+    parts = []
+    for array in arrays:
+        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64)
+                    if int(array.max(initial=0)) <= np.iinfo(t).max)
+        parts += [struct.pack("<BQ", np.dtype(kind).itemsize, len(array)), array.astype(kind).tobytes()]
+    return zstandard.ZstdCompressor().compress(b"".join(parts))
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    while at < len(raw):
+        width, n = struct.unpack_from("<BQ", raw, at)
+        out.append(np.frombuffer(raw, f"<u{width}", n, at + 9).astype(np.int64))
+        at += 9 + width * n
+    return out
+
+
 def block(ids: pa.Array, held: pa.Array, texts: pa.Array, number: int) -> pa.RecordBatch:
     """One block of documents as numbers of its own distinct words and stretches."""
     data, bounds = utf8(texts)
@@ -103,11 +123,9 @@ def block(ids: pa.Array, held: pa.Array, texts: pa.Array, number: int) -> pa.Rec
         "hashes": _listed(hashes, pa.int64()),
         "times": _listed(np.bincount(stretch_of, learnt[owner], len(hashes)).astype(np.int64),
                          pa.int64()),
-        "word_of": pa.array([word_of.tobytes()], pa.binary()),
-        "stretch_of": pa.array([stretch_of.astype(np.int32).tobytes()], pa.binary()),
-        "stretch_ends": pa.array([stops.astype(np.int32).tobytes()], pa.binary()),
-        "doc_ends": pa.array([np.stack([of[1:], np.searchsorted(owner, np.arange(len(ids)), "right")])
-                              .astype(np.int64).tobytes()], pa.binary())})
+        "texts": pa.array([packed(
+            word_of, stretch_of, np.diff(stops, prepend=0), np.diff(of),
+            np.bincount(owner, minlength=len(ids)))], pa.binary())})
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,12 +144,6 @@ def _discount(row) -> float:
     return min(max(once / (once + 2 * twice), 0.1), 0.9) if once else 0.5
 
 
-def _counts(df: DataFrame, name: str):
-    n = F.col(name)
-    return df.agg(F.sum(n).alias("total"), F.count_if(n > 0).alias("kinds"),
-                  F.count_if(n == 1).alias("once"), F.count_if(n == 2).alias("twice")).first()
-
-
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     held, rows, size = [], 0, 0
     for batch in batches:
@@ -172,18 +184,6 @@ def fit(seen: DataFrame, pieces: list[str], first: np.ndarray, rounds: int = ROU
     return np.log(p)
 
 
-def _spelling(pieces: list[str], log_p: np.ndarray) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = per_worker(("lattice", len(pieces), hash(tuple(pieces))), lambda: Lattice(pieces))
-        for part in _gathered(batches):
-            log_w = lattice.marginals(_column(part, "word"), log_p)
-            whole = pa.table([part.column("word"), part.column("c"), pa.array(log_w)],
-                             ["word", "c", "log_spelt"])
-            yield from whole.to_batches()
-
-    return run
-
-
 def _logs(count: np.ndarray, discount: float, total: int, freed: float, rest: np.ndarray) -> np.ndarray:
     """log of (count - discount) / total + freed * exp(rest), where a count of 0 has no share."""
     if not total:
@@ -193,44 +193,43 @@ def _logs(count: np.ndarray, discount: float, total: int, freed: float, rest: np
     return np.logaddexp(own, math.log(freed) + rest)
 
 
-def _scoring(total: int, kinds: int, ends: int, words_: tuple, stretches: tuple) -> Callable:
+def _scoring(pieces: list[str], log_p: np.ndarray, total: int, kinds: int, ends: int,
+             words_: tuple, stretches: tuple) -> Callable:
     """``words_`` and ``stretches``: discount, total and freed mass of each."""
     log_end = math.log((ends + 1) / (total + 2))
     log_word = math.log1p(-(ends + 1) / (total + 2))
 
-    def spread(at, values, size, kind):
-        out = np.zeros(size, kind)
-        if at.is_valid:
-            out[np.asarray(at.values)] = np.asarray(values.values)
+    def counts(own, others):
+        out = np.array(own.values, np.int64)
+        if others.is_valid:  # where the corpus has more than the block
+            found = others.values
+            out[np.asarray(found.field("at"))] = np.asarray(found.field("c"))
         return out
 
+    def sums(values, size):
+        return np.diff(np.append(0, np.cumsum(values))[np.cumsum(size)], prepend=0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = per_worker(("lattice", len(pieces), hash(tuple(pieces))), lambda: Lattice(pieces))
         for batch in batches:
             for k in range(len(batch)):
                 row = {c: batch.column(c)[k] for c in batch.schema.names}
-                word_of, stretch_of, stops = (np.frombuffer(row[c].as_py(), np.int32) for c in (
-                    "word_of", "stretch_of", "stretch_ends"))
-                to, upto = np.frombuffer(row["doc_ends"].as_py(), np.int64).reshape(2, -1)
-                n_words, n_kinds = np.diff(to, prepend=0), len(row["words"])
-                c = spread(row["word_at"], row["word_c"], n_kinds, np.int64)
-                spelt = spread(row["word_at"], row["log_spelt"], n_kinds, float)
-                again = spread(row["hash_at"], row["hash_c"], len(row["hashes"]), np.int64)
-
-                def sums(values, edges):
-                    return np.diff(np.append(0, np.cumsum(values))[edges], prepend=0)
-
+                word_of, stretch_of, in_stretch, n_words, n_stretches = unpacked(row["texts"].as_py())
+                c = counts(row["uses"], row["more_words"])
+                again = counts(row["times"], row["more_stretches"])
+                spelt = lattice.marginals(row["words"].values.cast(pa.large_string()), log_p)
                 log_w = log_word + _logs(c, *words_, spelt)
-                inside = sums(log_w[word_of], stops)
-                inside[upto - 1] += log_end
+                inside = sums(log_w[word_of], in_stretch)
+                inside[np.cumsum(n_stretches) - 1] += log_end
                 log_s = _logs(again[stretch_of], *stretches, inside)
-                base = sums(np.log10(c + 1.0)[word_of], to) + math.log10(ends + 1)
+                base = sums(np.log10(c + 1.0)[word_of], n_words) + math.log10(ends + 1)
+                known = sums((c > 0).astype(np.int64)[word_of], n_words) + (ends > 0)
                 yield pa.record_batch({
                     "doc_id": row["ids"].values, "held_out": row["held"].values,
-                    "n_tokens": pa.array(n_words + 1, pa.int64()),
-                    "n_known": pa.array(sums((c > 0)[word_of].astype(np.int64), to) + (ends > 0), pa.int64()),
-                    "train_tokens": pa.array(np.full(len(to), total), pa.int64()),
+                    "n_tokens": pa.array(n_words + 1, pa.int64()), "n_known": pa.array(known, pa.int64()),
+                    "train_tokens": pa.array(np.full(len(n_words), total), pa.int64()),
                     "base_score": pa.array(base - (n_words + 1) * math.log10(total + kinds + 1)),
-                    "score": pa.array(sums(log_s, upto) / math.log(10))})
+                    "score": pa.array(sums(log_s, n_stretches) / math.log(10))})
 
     return run
 
@@ -252,33 +251,38 @@ def scores(docs: DataFrame, vocabulary: str, held: Column | None = None) -> Data
     blocks = stored(rows.mapInArrow(_blocks, BLOCKS), "lm-blocks")
     pieces, first = read_vocabulary(vocabulary)
 
-    listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "uses"))).select(
-        "block", F.col("pos").alias("at"), "col.words", "col.uses").withColumnRenamed("words", "word")
-    seen = stored(listed.groupBy("word").agg(F.sum("uses").alias("c")), "lm-words")
-    hashed = blocks.select("block", F.posexplode(F.arrays_zip("hashes", "times"))).select(
-        "block", F.col("pos").alias("at"), "col.hashes", "col.times").withColumnRenamed("hashes", "hash")
-    common = hashed.groupBy("hash").agg(F.sum("times").alias("c")).where("c > 0")
-
+    # one row a block and unit; a unit in all blocks is ordered on disk where memory ends
+    def met(unit: str, uses: str) -> DataFrame:
+        rows = blocks.select("block", F.posexplode(F.arrays_zip(
+            F.col(unit).alias("unit"), F.col(uses).alias("own")))).select(
+            "block", F.col("pos").alias("at"), "col.unit", "col.own")
+        same = Window.partitionBy("unit")
+        return rows.withColumns({"c": F.sum("own").over(same), "first": F.min("block").over(same)})
+
+    at_first = F.col("block") == F.col("first")
+    more = F.collect_list(F.when(F.col("c") != F.col("own"), F.struct("at", "c")))
+    once_each = [F.sum(F.when(at_first, F.col("c"))).alias("total"),
+                 F.count_if(at_first & (F.col("c") > 0)).alias("kinds"),
+                 F.count_if(at_first & (F.col("c") == 1)).alias("once"),
+                 F.count_if(at_first & (F.col("c") == 2)).alias("twice")]
+    all_words = stored(met("words", "uses"), "lm-words")
+    word = all_words.agg(*once_each).first()
+    stretches = stored(met("hashes", "times").groupBy("block").agg(
+        more.alias("more_stretches"), *once_each), "lm-stretches")
+    stretch = stretches.agg(*(F.sum(n).alias(n) for n in ("total", "kinds", "once", "twice"))).first()
     ends = blocks.agg(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
-    word, stretch = _counts(seen, "c"), _counts(common, "c")
-    log_p = fit(seen.where("c > 0").select("word"), pieces, first)
+    log_p = fit(all_words.where(at_first & (F.col("c") > 0)).select(F.col("unit").alias("word")),
+                pieces, first)
 
     n_words, n_stretches = word["total"] or 0, stretch["total"] or 0
     d_word, d_stretch = _discount(word), _discount(stretch)
     in_words = (d_word, n_words, d_word * word["kinds"] / max(n_words, 1))
-    in_stretches = (d_stretch, n_stretches, d_stretch * stretch["kinds"] / max(n_stretches, 1))
-
-    spelt = seen.mapInArrow(_spelling(pieces, log_p), "word string, c long, log_spelt double")
-    found = listed.select("block", "at", "word").join(spelt, "word").groupBy("block").agg(
-        F.collect_list(F.struct("at", "c", "log_spelt")).alias("w"))
-    met = hashed.select("block", "at", "hash").join(common, "hash").groupBy("block").agg(
-        F.collect_list(F.struct("at", "c")).alias("h"))
-    whole = (blocks.drop("uses", "times").join(found, "block", "left").join(met, "block", "left")
-             .select("ids", "held", "words", "hashes", "word_of", "stretch_of", "stretch_ends", "doc_ends",
-                     F.col("w.at").alias("word_at"), F.col("w.c").alias("word_c"),
-                     F.col("w.log_spelt").alias("log_spelt"),
-                     F.col("h.at").alias("hash_at"), F.col("h.c").alias("hash_c")))
+    in_stretches = (d_stretch, n_stretches,
+                    d_stretch * (stretch["kinds"] or 0) / max(n_stretches, 1))
+    whole = (blocks.drop("hashes")
+             .join(all_words.groupBy("block").agg(more.alias("more_words")), "block", "left")
+             .join(stretches.select("block", "more_stretches"), "block", "left").drop("block"))
     return whole.mapInArrow(
-        _scoring(n_words + ends, word["kinds"] + (ends > 0), ends, in_words, in_stretches),
+        _scoring(pieces, log_p, n_words + ends, word["kinds"] + (ends > 0), ends, in_words, in_stretches),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
         "base_score double, score double")
