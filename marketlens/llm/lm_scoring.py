@@ -47,7 +47,7 @@ BLOCK = 4_000_000
 SPACING = 8
 ROUNDS = 2
 LEAST = 0.01  # expected uses that every piece has
-TOGETHER = 50_000  # words whose lattices are walked side by side
+TOGETHER = 30_000  # words whose lattices are walked side by side
 
 BLOCKS = ("block long, ids array<long>, held array<boolean>, words array<string>, uses array<long>, "
           "hashes array<long>, times array<long>, texts binary")
@@ -193,32 +193,49 @@ def _logs(count: np.ndarray, discount: float, total: int, freed: float, rest: np
     return np.logaddexp(own, math.log(freed) + rest)
 
 
-def _scoring(pieces: list[str], log_p: np.ndarray, total: int, kinds: int, ends: int,
-             words_: tuple, stretches: tuple) -> Callable:
-    """``words_`` and ``stretches``: discount, total and freed mass of each."""
-    log_end = math.log((ends + 1) / (total + 2))
-    log_word = math.log1p(-(ends + 1) / (total + 2))
+def _weighing(pieces: list[str], log_p: np.ndarray, log_word: float, words_: tuple) -> Callable:
+    """For each block, its words' counts and minus their logarithms in millionths, packed.
 
-    def counts(own, others):
-        out = np.array(own.values, np.int64)
-        if others.is_valid:  # where the corpus has more than the block
-            found = others.values
-            out[np.asarray(found.field("at"))] = np.asarray(found.field("c"))
-        return out
+    The rows come in the order of the words, so a word is spelt once for all its blocks.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = per_worker(("lattice", len(pieces), hash(tuple(pieces))), lambda: Lattice(pieces))
+        for part in _gathered(batches):
+            coded = _column(part, "unit").dictionary_encode()
+            number = coded.indices.to_numpy(zero_copy_only=False)
+            c, at, of = (part.column(n).to_numpy() for n in ("c", "at", "block"))
+            of_word = np.zeros(len(coded.dictionary), np.int64)
+            of_word[number] = c
+            log_w = log_word + _logs(of_word, *words_, lattice.marginals(coded.dictionary, log_p))
+            less = np.rint(-1e6 * log_w).astype(np.int64)[number]
+            order = np.argsort(of, kind="stable")
+            blocks, cut = np.unique(of[order], return_index=True)
+            rows = [packed(at[k], c[k], less[k]) for k in np.split(order, cut[1:])]
+            yield pa.record_batch({"block": pa.array(blocks, pa.int64()),
+                                   "weights": pa.array(rows, pa.binary())})
 
+    return run
+
+
+def _scoring(total: int, kinds: int, ends: int, log_end: float, stretches: tuple) -> Callable:
+    """``stretches``: discount, total and freed mass."""
     def sums(values, size):
         return np.diff(np.append(0, np.cumsum(values))[np.cumsum(size)], prepend=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = per_worker(("lattice", len(pieces), hash(tuple(pieces))), lambda: Lattice(pieces))
         for batch in batches:
             for k in range(len(batch)):
                 row = {c: batch.column(c)[k] for c in batch.schema.names}
                 word_of, stretch_of, in_stretch, n_words, n_stretches = unpacked(row["texts"].as_py())
-                c = counts(row["uses"], row["more_words"])
-                again = counts(row["times"], row["more_stretches"])
-                spelt = lattice.marginals(row["words"].values.cast(pa.large_string()), log_p)
-                log_w = log_word + _logs(c, *words_, spelt)
+                c = np.zeros(row["n_kinds"].as_py(), np.int64)
+                log_w = np.zeros(len(c))
+                for entry in row["weights"].as_py() or ():
+                    at, c_at, less = unpacked(entry)
+                    c[at], log_w[at] = c_at, less / -1e6
+                again = np.array(row["times"].values, np.int64)
+                if row["more"].is_valid:  # where the corpus has more than the block
+                    found = row["more"].values
+                    again[np.asarray(found.field("at"))] = np.asarray(found.field("c"))
                 inside = sums(log_w[word_of], in_stretch)
                 inside[np.cumsum(n_stretches) - 1] += log_end
                 log_s = _logs(again[stretch_of], *stretches, inside)
@@ -249,7 +266,7 @@ def scores(docs: DataFrame, vocabulary: str, held: Column | None = None) -> Data
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"),
                        held.alias("held"))
     blocks = stored(rows.mapInArrow(_blocks, BLOCKS), "lm-blocks")
-    pieces, first = read_vocabulary(vocabulary)
+    pieces, start = read_vocabulary(vocabulary)
 
     # one row a block and unit; a unit in all blocks is ordered on disk where memory ends
     def met(unit: str, uses: str) -> DataFrame:
@@ -260,29 +277,32 @@ def scores(docs: DataFrame, vocabulary: str, held: Column | None = None) -> Data
         return rows.withColumns({"c": F.sum("own").over(same), "first": F.min("block").over(same)})
 
     at_first = F.col("block") == F.col("first")
-    more = F.collect_list(F.when(F.col("c") != F.col("own"), F.struct("at", "c")))
     once_each = [F.sum(F.when(at_first, F.col("c"))).alias("total"),
                  F.count_if(at_first & (F.col("c") > 0)).alias("kinds"),
                  F.count_if(at_first & (F.col("c") == 1)).alias("once"),
                  F.count_if(at_first & (F.col("c") == 2)).alias("twice")]
-    all_words = stored(met("words", "uses"), "lm-words")
+    all_words = stored(met("words", "uses").drop("own"), "lm-words")
     word = all_words.agg(*once_each).first()
     stretches = stored(met("hashes", "times").groupBy("block").agg(
-        more.alias("more_stretches"), *once_each), "lm-stretches")
+        F.collect_list(F.when(F.col("c") != F.col("own"), F.struct("at", "c"))).alias("more"),
+        *once_each), "lm-stretches")
     stretch = stretches.agg(*(F.sum(n).alias(n) for n in ("total", "kinds", "once", "twice"))).first()
     ends = blocks.agg(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
     log_p = fit(all_words.where(at_first & (F.col("c") > 0)).select(F.col("unit").alias("word")),
-                pieces, first)
+                pieces, start)
 
     n_words, n_stretches = word["total"] or 0, stretch["total"] or 0
     d_word, d_stretch = _discount(word), _discount(stretch)
     in_words = (d_word, n_words, d_word * word["kinds"] / max(n_words, 1))
     in_stretches = (d_stretch, n_stretches,
                     d_stretch * (stretch["kinds"] or 0) / max(n_stretches, 1))
-    whole = (blocks.drop("hashes")
-             .join(all_words.groupBy("block").agg(more.alias("more_words")), "block", "left")
-             .join(stretches.select("block", "more_stretches"), "block", "left").drop("block"))
+    share_of_ends = (ends + 1) / (n_words + ends + 2)
+    weights = all_words.select("block", "at", "c", "unit").mapInArrow(
+        _weighing(pieces, log_p, math.log1p(-share_of_ends), in_words), "block long, weights binary")
+    whole = (blocks.select("block", "ids", "held", "times", "texts", F.size("words").alias("n_kinds"))
+             .join(weights.groupBy("block").agg(F.collect_list("weights").alias("weights")), "block", "left")
+             .join(stretches.select("block", "more"), "block", "left").drop("block"))
     return whole.mapInArrow(
-        _scoring(pieces, log_p, n_words + ends, word["kinds"] + (ends > 0), ends, in_words, in_stretches),
+        _scoring(n_words + ends, word["kinds"] + (ends > 0), ends, math.log(share_of_ends), in_stretches),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
         "base_score double, score double")
