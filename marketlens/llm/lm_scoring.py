@@ -172,7 +172,7 @@ def _expecting(pieces: list[str], log_p: np.ndarray) -> Callable:
     return run
 
 
-def fit(seen: DataFrame, pieces: list[str], first: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def fit(seen: DataFrame, pieces: list[str], first: np.ndarray, rounds: int) -> np.ndarray:
     """Log-probabilities of the pieces after ``rounds`` over the distinct words ``seen``."""
     p = first
     for _ in range(rounds):
@@ -289,7 +289,7 @@ def scores(docs: DataFrame, vocabulary: str, held: Column | None = None) -> Data
     stretch = stretches.agg(*(F.sum(n).alias(n) for n in ("total", "kinds", "once", "twice"))).first()
     ends = blocks.agg(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
     log_p = fit(all_words.where(at_first & (F.col("c") > 0)).select(F.col("unit").alias("word")),
-                pieces, start)
+                pieces, start, ROUNDS)
 
     n_words, n_stretches = word["total"] or 0, stretch["total"] or 0
     d_word, d_stretch = _discount(word), _discount(stretch)

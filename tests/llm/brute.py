@@ -203,3 +203,133 @@ def jaccard_classes(rows, width=5, similar=0.8):
         for x in texts[s]:
             out[x] = (min(own), len(own), degree[i])
     return out
+
+
+def _checksum(doc_id):
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+
+
+def low(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+def base_scores(rows):
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score) of each row."""
+    import math
+
+    split = [(i, re.findall(r"[^\x20\x09-\x0D]+", low(t))) for i, t in rows]
+    c, ends = Counter(), 0
+    for i, w in split:
+        if _checksum(i) % 7 != 2:
+            c.update(w)
+            ends += 1
+    total, kinds = sum(c.values()) + ends, len(c) + (ends > 0)
+    share = math.log10(total + kinds + 1)
+    return [(i, _checksum(i) % 7 == 2, len(w) + 1, sum(c[x] > 0 for x in w) + (ends > 0), total,
+             sum(math.log10(c[x] + 1) for x in w) + math.log10(ends + 1) - (len(w) + 1) * share)
+            for i, w in split]
+
+
+def spelt(word, pieces, p):
+    """Probability of a word over all its segmentations."""
+    known = {x: q for x, q in zip(pieces[256:], p[256:], strict=True)}
+    letters = ["▁", *("\U0010ffff" if c == "▁" else c for c in word)]  # no mark inside a word
+    ways = [1.0] + [0.0] * len(letters)
+    for t in range(1, len(letters) + 1):
+        for d in range(1, t + 1):
+            x = "".join(letters[t - d:t])
+            if x in known:
+                ways[t] += ways[t - d] * known[x]
+            elif d == 1:
+                q = 1.0
+                for b in x.replace("\U0010ffff", "▁").encode():
+                    q *= p[b]
+                ways[t] += ways[t - d] * q
+    return ways[-1]
+
+
+def periodic(w, least=12):
+    """(start, length, period) of all runs."""
+    n, found = len(w), []
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i + q < n:
+            if w[i] != w[i + q]:
+                i += 1
+                continue
+            s = i
+            while i + q < n and w[i] == w[i + q]:
+                i += 1
+            end = i + q
+            if end - s >= max(least, 2 * q) and not any(a <= s and b >= end for a, b, _ in found):
+                found.append((s, end, q))
+    return sorted((a, b - a, q) for a, b, q in found)
+
+
+def collapsed(w):
+    gone = {x for s, n, q in periodic(w) for x in range(s + q, s + n)}
+    return [x for i, x in enumerate(w) if i not in gone]
+
+
+def looped(doc_id, text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n, h = len(w), _checksum(doc_id)
+    if doc_id is not None and h % 10 == 0 and n:
+        a = h // 10 % n
+        p = 1 + (n - a) // (3 + h // 10 % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    return w
+
+
+def run_digests(rows):
+    out = []
+    for i, t in rows:
+        w = looped(i, t)
+        runs = periodic(w)
+        best = min(((-n, s, q) for s, n, q in runs), default=None)
+        out.append((i, len(runs), *((best[1], -best[0], best[2], -1000 * best[0] // best[2])
+                                    if best else (None,) * 4),
+                    sha("".join(f"{s},{n},{q}\n" for s, n, q in runs)), sha(" ".join(collapsed(w)))))
+    return out
+
+
+def merkle(rows, fan=16):
+    """Rows (doc_id, source, lang, n_chars, text) as leaves, with folded proofs."""
+    def field(v):
+        return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+    def leaf(r, tampered=False):
+        text = low(r[4]) if tampered and r[4] is not None else r[4]
+        return sha("".join(map(field, (*r[:4], text))))
+
+    def tree(nodes):
+        paths, groups = [[] for _ in nodes], [[i] for i in range(len(nodes))]
+        while len(nodes) > 1:
+            above, joined = [], []
+            for a in range(0, len(nodes), fan):
+                run = nodes[a:a + fan]
+                for k, members in enumerate(groups[a:a + fan]):
+                    for i in members:
+                        paths[i].append(("".join(run[:k]), "".join(run[k + 1:])))
+                above.append(sha("".join(run)))
+                joined.append([i for g in groups[a:a + fan] for i in g])
+            nodes, groups = above, joined
+        return nodes[0], paths
+
+    by = defaultdict(list)
+    for r in rows:
+        by[r[1]].append(r)
+    trees = []
+    for s in sorted(by, key=lambda s: (s is not None, (s or "").encode())):
+        own = sorted(by[s], key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        trees.append((own, *tree([leaf(r) for r in own])))
+    root, upper = tree([t[1] for t in trees]) if trees else ("", [])
+    out = []
+    for (own, subroot, paths), top in zip(trees, upper, strict=True):
+        for r, path in zip(own, paths, strict=True):
+            node = leaf(r, r[0] is not None and _checksum(r[0]) % 5 == 0)
+            for left, right in path + top:
+                node = sha(left + node + right)
+            out.append((r[0], leaf(r), subroot, root, sha("".join(a + b for a, b in path + top)),
+                        node, node == root))
+    return out
