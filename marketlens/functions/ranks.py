@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlens.functions.rows import beside
+
 BUCKETS = 64
 
 
@@ -36,8 +38,8 @@ def ranked_values(df: DataFrame, group: Sequence[str], value: str,
         F.percentile_approx(value, fractions, 20 * buckets).alias("edges"),
         F.sum("n").alias("total"),
     )
-    # without a group the edges are a single row; with one the optimizer decides from sizes
-    placed = counts.join(edges, group) if group else counts.crossJoin(F.broadcast(edges))
+    # without a group the edges are constants; with one the optimizer decides from sizes
+    placed = counts.join(edges, group) if group else beside(counts, edges)
     placed = placed.withColumn(
         "bucket", F.size(F.filter("edges", lambda edge: edge < F.col(value)))
     ).drop("edges")

@@ -13,6 +13,7 @@ from marketlens.operators.cohorts import cohort_members, cohort_sizes
 from marketlens.operators.kpis import (
     converters, daily_engagement, frequency_score, monetary_score, recency_score,
 )
+from marketlens.functions.rows import beside
 from marketlens.plans.facts import (
     attach, customer_bet_days, customer_bets, customer_ledger, customer_value,
 )
@@ -34,7 +35,7 @@ def headline(t: Tables) -> DataFrame:
     visits = t.sessions.agg(F.sum("duration_minutes").alias("minutes"),
                             F.count("duration_minutes").alias("visits"))
     # four single-row aggregates side by side
-    row = people.crossJoin(won).crossJoin(bets).crossJoin(visits)
+    row = beside(people, won, bets, visits)
     ltv = F.col("wagered") - F.col("paid") - F.col("cost")
     return row.select(
         ratio("cost", exact("customers"), 6).alias("cac"),

@@ -10,6 +10,7 @@ from marketlens.functions.dates import (
 )
 from marketlens.functions.numbers import exact, fixed, percent, ratio, share, zero
 from marketlens.functions.ranks import quantiles
+from marketlens.functions.rows import beside
 from marketlens.plans.facts import (
     activity_days, attach, customer_bet_days, customer_bets, customer_ledger,
 )
@@ -93,7 +94,7 @@ def retention_long(t: Tables, period: str = "monthly") -> DataFrame:
     cohorts = observed.groupBy("cohort_period").agg(F.lit(1).alias("k"))
     # the list of period numbers is calendar-sized: one small array carried to each cohort
     numbers = observed.agg(F.array_sort(F.collect_set("period_number")).alias("numbers"))
-    grid = cohorts.crossJoin(F.broadcast(numbers)).select(
+    grid = beside(cohorts, numbers).select(
         "cohort_period", F.explode("numbers").alias("period_number"))
     return grid.join(observed, ["cohort_period", "period_number"], "left").select(
         "cohort_period", "period_number", zero("retention_rate").alias("retention_rate"))
@@ -123,7 +124,7 @@ def retention_rows(t: Tables, period: str = "monthly") -> DataFrame:
     cohorts = observed.groupBy("cohort_period").agg(F.lit(1).alias("k"))
     # one number; the calendar bounds it
     width = observed.agg(F.max("period_number").cast("int").alias("last"))
-    grid = cohorts.crossJoin(F.broadcast(width)).select(
+    grid = beside(cohorts, width).select(
         "cohort_period", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("period_number"))
     cell = F.struct("period_number", F.format_string(
         "%.6f", zero("retention_rate").cast("double")).alias("rate"))
@@ -139,7 +140,7 @@ def retention_summary(t: Tables, checkpoints: tuple[int, ...] = (1, 3, 6)) -> Da
         zero(F.sum(F.when(F.col("period_number") == p, F.col("retention_rate")))).alias(f"s{p}")
         for p in checkpoints])
     cohorts = observed.agg(F.countDistinct("cohort_period").alias("cohorts"))
-    return totals.crossJoin(cohorts).select("cohorts", *[
+    return beside(totals, cohorts).select("cohorts", *[
         ratio(f"s{p}", exact("cohorts"), 6).alias(f"period_{p}_retention") for p in checkpoints])
 
 
@@ -242,7 +243,7 @@ def cohort_overview(t: Tables) -> DataFrame:
     churn = churn_by_cohort(t).agg(
         ratio(F.sum("churn_rate"), exact(F.count("*")), 6).alias("churn_rate"),
         ratio(F.sum("never_active_rate"), exact(F.count("*")), 6).alias("never_active_rate"))
-    return value.crossJoin(churn)
+    return beside(value, churn)
 
 
 def cohort_heatmap_totals(t: Tables) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.dates import day
 from marketlens.functions.numbers import exact, ratio, share, zero
 from marketlens.operators.kpis import converters
+from marketlens.functions.rows import beside
 from marketlens.plans.facts import is_deposit, sum_if
 from marketlens.plans.tables import Tables
 
@@ -61,7 +62,7 @@ def overview_kpis(t: Tables) -> DataFrame:
         zero(F.sum("bet_amount")).alias("total_wagered"),
         zero(F.sum(F.col("bet_amount") - F.col("payout"))).alias("gross_gaming_revenue"))
     # four single-row aggregates side by side
-    row = people.crossJoin(first).crossJoin(ledger).crossJoin(bets)
+    row = beside(people, first, ledger, bets)
     return row.select(
         "total_customers", "converted_customers",
         zero(share("converted_customers", "total_customers", 6)).alias("conversion_rate"),
@@ -111,7 +112,7 @@ def dataset_summary(t: Tables) -> DataFrame:
     people = t.customers.agg(F.count("*").alias("customers"))
     first = t.first_deposits.agg(F.count("*").alias("first_deposits"))
     bets = t.betting_activity.agg(F.count("*").alias("bets"), F.sum("bet_amount").alias("volume"))
-    return people.crossJoin(first).crossJoin(bets).select(
+    return beside(people, first, bets).select(
         "customers", "bets",
         share("first_deposits", "customers", 6).alias("conversion_rate"),
         ratio("volume", exact("bets"), 6).alias("avg_bet_size"),
@@ -149,8 +150,8 @@ def data_dictionary(t: Tables) -> DataFrame:
         F.array_sort(F.collect_set("customer_segment")).alias("customer_segments"))
     bets = t.betting_activity.agg(
         F.count("*").alias("total_bets"), F.array_sort(F.collect_set("sport")).alias("sports"))
-    row = people.crossJoin(bets)
+    row = beside(people, bets)
     for name, label in (("ledger", "total_transactions"), ("sessions", "total_sessions"),
                         ("campaigns", "total_campaigns")):
-        row = row.crossJoin(getattr(t, name).agg(F.count("*").alias(label)))
+        row = beside(row, getattr(t, name).agg(F.count("*").alias(label)))
     return row

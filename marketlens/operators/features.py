@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.dates import floor_days
 from marketlens.functions.numbers import exact, fixed, ratio, share, zero
 from marketlens.functions.ranks import ranked_values
+from marketlens.functions.rows import beside
 from marketlens.plans.facts import (
     attach, customer_bet_profile, customer_ledger, customer_sessions, customer_sport_profile,
     is_deposit,
@@ -194,7 +195,7 @@ def curve_points(scored: DataFrame, label: str = "label", score: str = "score")
     called = F.col("total") - F.col("before")
     negatives = F.col("total") - F.col("all_positives")
     # a single row of totals
-    return ranked.crossJoin(F.broadcast(all_positive)).select(
+    return beside(ranked, all_positive).select(
         F.col(score).alias("threshold"), tp.alias("true_positives"),
         (called - tp).alias("false_positives"),
         share(tp, "all_positives", 6).alias("recall"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.dates import day
+from marketlens.functions.rows import beside
 from marketlens.plans.facts import is_deposit, sum_if
 from marketlens.plans.tables import Tables
 from marketlens.schemas import FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS, TRANSACTION_TYPES
@@ -49,7 +50,7 @@ def database_summary(t: Tables) -> DataFrame:
         t.first_deposits.agg(F.countDistinct("customer_id").alias("converted_customers")),
     ]
     # each side is a global aggregate: exactly one row
-    return reduce(lambda a, b: a.crossJoin(b), singles)
+    return beside(*singles)
 
 
 def dq_primary_key(t: Tables) -> DataFrame:
