@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlens.operators import (
-    abtest, advanced, attribution, bi, cohorts, dashboard, features, kpis, models, quality, sessions,
+    abtest, advanced, attribution, audiences, bi, cohorts, dashboard, features, kpis, models, quality, sessions,
     written,
 )
 from marketlens.plans.tables import Tables
@@ -120,6 +120,9 @@ OPERATORS: dict[str, Operator] = {
         features.inactivity_predictions(t)),
     "roc_pr_curves": lambda t: features.curve_points(features.inactivity_predictions(t)),
     "risk_bands": features.risk_bands,
+    "behaviour_clusters": audiences.behaviour_clusters,
+    "behaviour_membership": audiences.behaviour_membership,
+    "lookalikes": audiences.lookalikes,
 }
 
 # These read the event table itself rather than the six tables.

@@ -7,7 +7,8 @@ import re
 
 from oracles.base import CTES
 
-MODULES = ("kpis", "advanced", "quality", "written", "attribution", "cohorts", "abtests", "features", "bi", "timed")
+MODULES = ("kpis", "advanced", "quality", "written", "attribution", "cohorts", "abtests", "features", "bi", "timed",
+           "audiences")
 
 
 def compose(body: str) -> str:
