@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlens.operators import (
-    abtest, advanced, attribution, audiences, bi, cohorts, dashboard, features, kpis, models, quality, sessions,
+    abtest, advanced, attribution, audiences, bi, budget, cohorts, dashboard, features, kpis, models, quality, sessions,
     written,
 )
 from marketlens.plans.tables import Tables
@@ -123,6 +123,7 @@ OPERATORS: dict[str, Operator] = {
     "behaviour_clusters": audiences.behaviour_clusters,
     "behaviour_membership": audiences.behaviour_membership,
     "lookalikes": audiences.lookalikes,
+    "budget_allocation": budget.budget_allocation,
 }
 
 # These read the event table itself rather than the six tables.

@@ -8,7 +8,7 @@ import re
 from oracles.base import CTES
 
 MODULES = ("kpis", "advanced", "quality", "written", "attribution", "cohorts", "abtests", "features", "bi", "timed",
-           "audiences")
+           "audiences", "budget")
 
 
 def compose(body: str) -> str:
