@@ -222,7 +222,7 @@ def ab_continuous_welch(t: Tables) -> DataFrame:
 
 
 def welch_test(stats: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Welch statistics with p-value and interval; Python sees one row per metric."""
+    """Welch statistics with p-value and interval."""
     return welch(stats, alpha).withColumns({
         "p_value": t_p_value("t_stat", "df_welch"),
         "margin": t_quantile(alpha, "df_interval") * F.col("se"),

@@ -155,3 +155,36 @@ STATEMENTS["ab_sample_size"] = f"""
     ceil(2 * {_ZZ} * pool * (1 - pool) / gap)::BIGINT AS n_proportion_two_sample,
     ceil(2 * {_ZZ} / (x * x))::BIGINT AS n_continuous
   FROM m WHERE p > 0"""
+
+
+# Student's t by integration of its density (Simpson's rule), the quantile by Newton's steps.
+_PANELS = 4000
+
+
+def _density(x: str) -> str:
+    return (f"exp(lgamma((df + 1) / 2) - lgamma(df / 2) - ln(df * pi()) / 2 - (df + 1) / 2 * ln(1 + ({x}) * ({x}) / df))")
+
+
+def _tail(t: str) -> str:
+    weight = f"CASE WHEN i = 0 OR i = {_PANELS} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return (f"(1 - 2 * abs({t}) / {3 * _PANELS}.0 * list_sum(list_transform(range(0, {_PANELS + 1}), "
+            f"lambda i: {weight} * {_density(f'abs({t}) * i / {_PANELS}.0')})))")
+
+
+STATEMENTS["ab_welch_p"] = f"""
+  WITH RECURSIVE a AS (
+    SELECT *, mt - mc AS lift, sqrt(vc / nc + vt / nt) AS se, vc / nc AS a, vt / nt AS b,
+      (mt - mc) / sqrt(((nc - 1) * vc + (nt - 1) * vt) / (nc + nt - 2)) AS d FROM arms),
+  w AS (SELECT *, (a + b) * (a + b) / (a * a / (nc - 1) + b * b / (nt - 1)) AS df FROM a),
+  p AS (SELECT *, {_tail('lift / se')} AS p FROM w),
+  q AS (
+    SELECT metric, nc + nt - 2 AS df, {Z}::DOUBLE AS t, 0 AS step FROM a
+    UNION ALL
+    SELECT metric, df, t + ({_tail('t')} - 0.05) / (2 * {_density('t')}), step + 1 FROM q WHERE step < 8)
+  SELECT metric, {rnd('mc', 6)} AS control_value, {rnd('mt', 6)} AS treatment_value, {rnd('lift', 6)} AS lift,
+    CASE WHEN mc > 0 THEN {rnd('lift / mc * 100', 6)} ELSE 0 END AS lift_pct, {rnd('lift / se', 6)} AS t_stat,
+    {rnd('se', 6)} AS se, {rnd('p.df', 6)} AS df_welch, q.df AS df_interval, {rnd('d', 6)} AS effect_size,
+    {rnd(_power('d'), 6)} AS statistical_power, nc::BIGINT AS sample_size_control,
+    nt::BIGINT AS sample_size_treatment, {rnd('p', 6)} AS p_value, {rnd('lift - t * se', 6)} AS ci_lower,
+    {rnd('lift + t * se', 6)} AS ci_upper, p < 0.05 AS is_significant
+  FROM p JOIN q USING (metric) WHERE step = 8"""

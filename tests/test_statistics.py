@@ -22,10 +22,26 @@ def test_normal_cdf(spark):
     assert stats.z_value(0.975) == pytest.approx(1.959964, abs=1e-6)
 
 
-@pytest.mark.parametrize("df,critical", [(1, 12.7062), (10, 2.2281), (30, 2.0423), (1e6, 1.959966)])
-def test_t_distribution(df, critical):
-    assert stats.t_critical(0.05, df) == pytest.approx(critical, abs=1e-4)
-    assert stats.t_two_sided(critical, df) == pytest.approx(0.05, abs=1e-5)
+@pytest.mark.parametrize("df,critical", [
+    (1, 12.7062), (2, 4.3027), (2.5, 3.5582), (10, 2.2281), (30, 2.0423), (3999, 1.9606), (1e6, 1.959966)])
+def test_t_distribution(spark, df, critical):
+    row = spark.createDataFrame([(float(df), critical)], "df double, t double").select(
+        stats.t_quantile(0.05, "df"), stats.t_p_value("t", "df"), stats.t_p_value(-F.col("t"), "df"),
+        stats.t_p_value(F.lit(0.0), "df"), stats.t_p_value("t", F.lit(0.0)),
+        stats.t_quantile(0.01, "df")).first()
+    assert row[0] == pytest.approx(critical, abs=1e-4)
+    assert row[1] == row[2] == pytest.approx(0.05, abs=1e-5)
+    assert row[3] == 1 and row[4] is None
+    back = spark.createDataFrame([(float(df), row[5])], "df double, t double").select(
+        stats.t_p_value("t", "df")).first()[0]
+    assert back == pytest.approx(0.01, abs=1e-10)
+
+
+def test_log_gamma(spark):
+    xs = [0.5, 1.0, 1.5, 2.0, 7.25, 100.0, 1e6]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(
+        stats.log_gamma("x")).collect()]
+    assert got == pytest.approx([math.lgamma(x) for x in xs], abs=1e-12, rel=1e-13)
 
 
 def test_chi_square_point(spark):
