@@ -53,9 +53,9 @@ def two_sided_normal(c: ColumnLike) -> Column:
 _LANCZOS = [0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313,
             -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6,
             1.5056327351493116e-7]
-_FRACTION_STEPS = 300
+_FRACTION_STEPS = 120
 _LARGE_DF = 4000.0  # from here on the tail is that of a transformed normal, right to 8 digits
-_NEWTON_STEPS = 40
+_NEWTON_STEPS = 24
 _TINY = 1e-300
 
 
