@@ -126,16 +126,28 @@ def target(t: Tables, prediction_type: str) -> DataFrame:
     return feature_matrix(t, prediction_type).select("customer_id", TARGETS[prediction_type])
 
 
-def with_split(df: DataFrame, seed: int = 42, fraction: float = 0.2) -> DataFrame:
-    """Repeatable ``is_test`` flag from a hash of seed and customer, so every label gets
-    the same expected share on any number of executors."""
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "customer_id")), 1, 8),
+def with_split(df: DataFrame, seed: int = 42, fraction: float = 0.2,
+               label: str | None = None) -> DataFrame:
+    """Repeatable ``is_test`` flag: of each label's n rows, round(fraction * n) are held out.
+
+    A hash of seed and customer orders the rows, so the choice is the same on any number of
+    executors. The last draw held out is found from exact distributed ranks; without ``label``
+    all rows are one group. A missing label is a group of its own.
+    """
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "customer_id")), 1, 15),
                   16, 10).cast("long")
-    return df.withColumn("is_test", draw < F.lit(int(fraction * 2**32)))
+    group = F.coalesce(F.col(label).cast("string"), F.lit("")) if label else F.lit("")
+    drawn = df.withColumns({"_draw": draw, "_group": group})
+    ranks = ranked_values(drawn.select("_group", "_draw"), ["_group"], "_draw")
+    wanted = F.round(F.col("total") * F.lit(fraction)).cast("long")
+    # a row a label
+    last = ranks.where(F.col("before") < wanted).groupBy("_group").agg(F.max("_draw").alias("_last"))
+    return drawn.join(last, "_group", "left").withColumn(
+        "is_test", F.coalesce(F.col("_draw") <= F.col("_last"), F.lit(False))).select(*df.columns, "is_test")
 
 
 def split_sizes(t: Tables) -> DataFrame:
-    return with_split(target(t, "churn")).groupBy("churn_target", "is_test").agg(
+    return with_split(target(t, "churn"), label="churn_target").groupBy("churn_target", "is_test").agg(
         F.count("*").alias("customers"))
 
 

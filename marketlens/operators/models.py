@@ -123,7 +123,8 @@ def training_rows(t: Tables, kind: str, seed: int = 42) -> DataFrame:
         matrix = matrix.where("has_made_deposit = 1")
     plain = plain_rows(matrix)
     checkpoint_dir(plain.sparkSession)
-    return with_split(plain, seed).withColumn(
+    stratum = None if kind == "ltv" else TARGETS[kind]
+    return with_split(plain, seed, label=stratum).withColumn(
         "label", F.col(TARGETS[kind]).cast("double")).checkpoint()
 
 

@@ -83,8 +83,11 @@ for _kind in ("churn", "ltv", "conversion"):
     STATEMENTS[f"target_{_kind}"] = f"SELECT customer_id, {_kind}_target FROM features"
 
 STATEMENTS["split_80_20"] = """
-  SELECT churn_target, ('0x' || md5('42|' || customer_id)[1:8])::BIGINT < (0.2 * 4294967296)::BIGINT AS is_test,
-    count(*) AS customers FROM features GROUP BY 1, 2"""
+  SELECT churn_target, row_number() OVER w <= round(0.2::DOUBLE * count(*) OVER (PARTITION BY churn_target)) AS is_test,
+    customer_id FROM features
+  WINDOW w AS (PARTITION BY churn_target ORDER BY ('0x' || md5('42|' || customer_id)[1:15])::BIGINT)"""
+STATEMENTS["split_80_20"] = f"""
+  SELECT churn_target, is_test, count(*) AS customers FROM ({STATEMENTS["split_80_20"]}) GROUP BY 1, 2"""
 
 STATEMENTS["classification_report"] = f"""
   WITH r AS (SELECT churn_target AS y, (days_since_last_bet > 90)::BIGINT AS p FROM features),

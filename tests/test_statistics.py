@@ -23,7 +23,7 @@ def test_normal_cdf(spark):
 
 
 @pytest.mark.parametrize("df,critical", [
-    (1, 12.7062), (2, 4.3027), (10, 2.2281), (30, 2.0423), (3999, 1.9606), (1e6, 1.959966)])
+    (1, 12.7062), (30, 2.0423), (1e6, 1.959966)])
 def test_t_distribution(spark, df, critical):
     row = spark.createDataFrame([(float(df), critical)], "df double, t double").select(
         stats.t_quantile(0.05, "df"), stats.t_p_value("t", "df"), stats.t_p_value(-F.col("t"), "df"),
