@@ -18,7 +18,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +26,7 @@ from marketlens.functions.numbers import fixed
 from marketlens.operators.features import (
     TARGETS, banded, classification_report, curve_points, feature_matrix, with_split,
 )
+from marketlens.operators.newton import NewtonTrees
 from marketlens.plans.tables import Tables
 from marketlens.session import checkpoint_dir
 
@@ -98,10 +99,11 @@ def prepare_stages(matrix: DataFrame, names: Sequence[str]) -> list:
 
 
 def classifiers(trees: int, rounds: int, seed: int) -> dict:
-    """Two settings of boosted trees take the places of the two boosted libraries."""
+    """A forest, a linear model, and two kinds of boosted trees: by gradients over raw values, and by
+    Newton's steps over binned values."""
     return {
         "RandomForest": RandomForestClassifier(numTrees=trees, seed=seed),
-        "BoostedTreesDeep": GBTClassifier(maxIter=rounds, maxDepth=6, stepSize=0.3, seed=seed),
+        "NewtonTrees": NewtonTrees(logistic=True, rounds=max(rounds // 3, 1)),
         "LogisticRegression": LogisticRegression(),
         "BoostedTrees": GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.1, seed=seed),
     }
@@ -110,7 +112,7 @@ def classifiers(trees: int, rounds: int, seed: int) -> dict:
 def regressors(trees: int, rounds: int, seed: int) -> dict:
     return {
         "RandomForest": RandomForestRegressor(numTrees=trees, seed=seed),
-        "BoostedTreesDeep": GBTRegressor(maxIter=rounds, maxDepth=6, stepSize=0.3, seed=seed),
+        "NewtonTrees": NewtonTrees(logistic=False, rounds=max(rounds // 3, 1)),
         "Ridge": LinearRegression(regParam=1.0, elasticNetParam=0.0),
         "LinearRegression": LinearRegression(),
     }
