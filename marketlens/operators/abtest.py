@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.numbers import exact, fixed, ratio, share
 from marketlens.functions.ranks import ranked_values
 from marketlens.functions.stats import (
-    normal_cdf, t_p_value, t_quantile, two_sided_normal, z_value,
+    normal_cdf, normal_quantile, t_p_value, t_quantile, two_sided_normal, z_value,
 )
 from marketlens.plans.facts import attach, customer_value
 from marketlens.plans.tables import Tables
@@ -237,8 +237,48 @@ def ab_welch_p(t: Tables) -> DataFrame:
     return rounded(tested.drop("margin"))
 
 
+EXACT_ARM = 10  # up to this size of both arms, untied values are tested by the exact law
+
+
+def rank_sum_ways(n: Column, total: Column) -> Column:
+    """For s = 0 .. n * total: in how many ways n of the ranks 1 .. total add up to s.
+
+    Rank after rank is either left out or taken, so the ways for j ranks and sum s grow by those for
+    j - 1 ranks and sum s - rank.
+    """
+    length = (n * total + 1).cast("int")
+    first = F.transform(F.sequence(F.lit(0), n.cast("int")), lambda j: F.transform(
+        F.sequence(F.lit(0), length - 1), lambda s: F.when((j == 0) & (s == 0), 1.0).otherwise(0.0)))
+
+    def take(ways: Column, rank: Column) -> Column:
+        return F.transform(ways, lambda row, j: F.transform(row, lambda v, s: F.when(
+            (j > 0) & (s >= rank), v + F.get(F.get(ways, j - 1), s - rank)).otherwise(v)))
+
+    return F.aggregate(F.sequence(F.lit(1), total.cast("int")), first, take, lambda ways: F.get(ways, n.cast("int")))
+
+
+def exact_rank_sum_p(n_t: Column, n_c: Column, u: Column) -> Column:
+    """Two-sided p-value: twice the share of splits whose U is at least the larger U, at most 1."""
+    ways = rank_sum_ways(n_t, n_t + n_c)
+    least = F.greatest(u, n_t * n_c - u) + n_t * (n_t + 1) / 2
+
+    def share(found: Column) -> Column:
+        def add(a, v):
+            return a + v
+
+        upper = F.aggregate(F.slice(found, least.cast("int") + 1, F.size(found)), F.lit(0.0), add)
+        return upper / F.aggregate(found, F.lit(0.0), add)
+
+    # the ways are worked out once and handed on
+    return F.least(F.lit(1.0), 2 * F.get(F.transform(F.array(ways), share), 0))
+
+
 def mann_whitney(rows: DataFrame) -> DataFrame:
-    """Two-sided rank-sum test per metric from distributed average ranks."""
+    """Two-sided rank-sum test per metric from distributed average ranks.
+
+    Untied values in arms of at most ``EXACT_ARM`` are tested by the exact law of U, all others by
+    its normal approximation with corrections for ties and continuity.
+    """
     ranked = ranked_values(
         rows, ["metric"], "value", {"treated": F.count_if(_arm(TREATMENT))})
     n = F.col("n").cast("double")
@@ -253,13 +293,24 @@ def mann_whitney(rows: DataFrame) -> DataFrame:
         F.col("ties"), n_all * (n_all - 1))))
     high = F.greatest(u, n_t * n_c - u)
     z = F.try_divide(high - n_t * n_c / 2 - 0.5, sigma)
+    exact_law = (F.col("ties") == 0) & (F.greatest(n_t, n_c) <= EXACT_ARM)
     return agg.where("n_t > 0 AND n_t < n_all").select(
         "metric", u.alias("u_statistic"), z.alias("z_score"),
-        F.least(F.lit(1.0), 2 * normal_cdf(-z)).alias("p_value"),
+        F.when(exact_law, exact_rank_sum_p(n_t, n_c, u))
+        .otherwise(F.least(F.lit(1.0), 2 * normal_cdf(-z))).alias("p_value"),
         n_c.cast("long").alias("sample_size_control"),
         n_t.cast("long").alias("sample_size_treatment"))
 
 
+def ab_rank_sum_by_week(t: Tables) -> DataFrame:
+    """The rank-sum test of bet sizes within each signup week, whose arms may be small."""
+    week = F.date_format(F.date_trunc("week", "signup_date"), "yyyy-MM-dd")
+    weeks = t.customers.select("customer_id", week.alias("metric"))
+    rows = ab_users(t, "response").join(weeks, "customer_id").select(
+        "metric", "group", F.col("avg_bet_size").alias("value")).where("value IS NOT NULL")
+    return rounded(mann_whitney(rows).withColumnRenamed("metric", "signup_week"))
+
+
 def ab_mann_whitney(t: Tables) -> DataFrame:
     return rounded(mann_whitney(value_rows(ab_users(t, "response"), list(VALUE_METRICS))))
 
@@ -316,31 +367,43 @@ def ab_bootstrap_ci(t: Tables) -> DataFrame:
         (F.col("lift") + F.col("margin")).alias("ci_upper"))
 
 
+LEAST_FOR_NORMALITY = 5
+
+
 def normality_gate(rows: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Per metric: may the means be compared by t test?
 
-    The Jarque-Bera test of each arm, from its central moments in one aggregate: the same
-    rule at every size, and no group's values are held anywhere. An arm without spread or
-    with fewer than three values is not normal.
+    The Shapiro-Francia test of each arm with Royston's p-value: the squared correlation of the ordered
+    values with normal scores, the same rule at every size. Ranks are exact and distributed; equal
+    values share the score of their mean rank. An arm without spread or with fewer than
+    ``LEAST_FOR_NORMALITY`` values is not normal.
     """
-    x, mean = F.col("value").cast("double"), F.col("mean")
-    centre = rows.groupBy("metric", "group").agg(F.avg(F.col("value").cast("double")).alias("mean"))
-    moments = rows.join(centre, ["metric", "group"]).groupBy("metric", "group").agg(
-        F.count("value").alias("n"), *[F.avg(F.pow(x - mean, F.lit(float(k)))).alias(f"m{k}")
-                                       for k in (2, 3, 4)])
-    spread = F.when((F.col("n") > 2) & (F.col("m2") > 0), F.col("m2"))
-    skew, excess = F.col("m3") / F.pow(spread, F.lit(1.5)), F.col("m4") / (spread * spread) - 3
-    jb = F.col("n") / 6 * (skew * skew + excess * excess / 4)
-    # the tail of a chi-square with two degrees of freedom
-    tested = moments.withColumn("jb", jb).withColumn("p", F.exp(-F.col("jb") / 2))
+    plain = rows.select("metric", "group", F.col("value").cast("double").alias("value"))
+    ranked = ranked_values(plain, ["metric", "group"], "value")
+    rank = F.col("before") + (F.col("n") + 1) / 2
+    score = normal_quantile((rank - 0.375) / (F.col("total") + 0.25))
+    centre = plain.groupBy("metric", "group").agg(F.avg("value").alias("mean"))
+    gap, many = F.col("value") - F.col("mean"), F.col("n")
+    sums = ranked.withColumn("score", score).join(centre, ["metric", "group"]).groupBy("metric", "group").agg(
+        F.sum("n").alias("n"), F.sum(many * F.col("score") * gap).alias("xy"),
+        F.sum(many * F.col("score") * F.col("score")).alias("yy"), F.sum(many * gap * gap).alias("xx"))
+    fits = (F.col("n") >= LEAST_FOR_NORMALITY) & (F.col("xx") > 0)
+    w = F.when(fits, F.col("xy") * F.col("xy") / (F.col("xx") * F.col("yy")))
+    u = F.log(F.col("n").cast("double"))
+    # fixed values: Royston's mean and deviation of log(1 - W)
+    mean = -1.2725 + 1.0521 * (F.log(u) - u)
+    spread = 1.0308 - 0.26758 * (F.log(u) + 2 / u)
+    z = F.when(F.col("w").isNotNull(), (
+        mean - F.log(F.greatest(1 - F.col("w"), F.lit(1e-300)))) / spread)
+    tested = sums.withColumn("w", w).withColumn("z", z).withColumn("p", normal_cdf("z"))
     wide = tested.groupBy("metric").agg(*[
         F.max(F.when(_arm(arm), F.col(c))).alias(f"{name}_{arm}")
         for arm in (CONTROL, TREATMENT)
-        for name, c in (("sample_size", "n"), ("jb", "jb"), ("p", "p"))])
+        for name, c in (("sample_size", "n"), ("w", "w"), ("p", "p"))])
     normal = (F.col("p_control") > alpha) & (F.col("p_treatment") > alpha)
     return wide.where("sample_size_control > 0 AND sample_size_treatment > 0").select(
-        "metric", "sample_size_control", "sample_size_treatment", "jb_control", "p_control",
-        "jb_treatment", "p_treatment", F.coalesce(normal, F.lit(False)).alias("is_normal"))
+        "metric", "sample_size_control", "sample_size_treatment", "w_control", "p_control",
+        "w_treatment", "p_treatment", F.coalesce(normal, F.lit(False)).alias("is_normal"))
 
 
 def ab_normality_gate(t: Tables) -> DataFrame:

@@ -90,6 +90,7 @@ OPERATORS: dict[str, Operator] = {
     "ab_continuous_welch": abtest.ab_continuous_welch,
     "ab_welch_p": abtest.ab_welch_p,
     "ab_mann_whitney": abtest.ab_mann_whitney,
+    "ab_rank_sum_by_week": abtest.ab_rank_sum_by_week,
     "ab_bootstrap_ci": abtest.ab_bootstrap_ci,
     "ab_power": abtest.ab_power,
     "ab_normality_gate": abtest.ab_normality_gate,

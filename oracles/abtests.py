@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 from oracles.base import CTES, rnd
@@ -105,38 +106,81 @@ STATEMENTS["ab_power"] = f"""
     {rnd(_power('effect'), 6)} AS statistical_power
   FROM (SELECT *, unnest([0.02, 0.05, 0.1, 0.2, 0.5, 1.0])::DOUBLE AS effect FROM arms)"""
 
-STATEMENTS["ab_mann_whitney"] = f"""
-  WITH r AS (
+EXACT = 10
+
+
+def _rank_sum(source: str, label: str) -> str:
+    """Normal approximation, and for small untied arms the exact law by counting rank after rank."""
+    ways = ["ways0 AS (SELECT 0 AS j, 0 AS s, 1::DOUBLE AS c)"] + [
+        f"ways{r} AS MATERIALIZED (SELECT j, s, sum(c) AS c FROM (SELECT * FROM ways{r - 1} UNION ALL "
+        f"SELECT j + 1, s + {r}, c FROM ways{r - 1} WHERE j < {EXACT}) GROUP BY 1, 2)" for r in range(1, 2 * EXACT + 1)]
+    every = " UNION ALL ".join(f"SELECT {r} AS r, * FROM ways{r}" for r in range(2, 2 * EXACT + 1))
+    return f"""
+  WITH {", ".join(ways)},
+  law AS (
+    SELECT r, j, s, sum(c) OVER (PARTITION BY r, j ORDER BY s DESC) / sum(c) OVER (PARTITION BY r, j) AS upper
+    FROM ({every})),
+  r AS (
     SELECT metric, treated, rank() OVER o + (count(*) OVER (PARTITION BY metric, value) - 1) / 2.0 AS rk,
-      count(*) OVER (PARTITION BY metric, value) AS same FROM measured
+      count(*) OVER (PARTITION BY metric, value) AS same FROM {source}
     WINDOW o AS (PARTITION BY metric ORDER BY value)),
   s AS (
     SELECT metric, count(*) FILTER (treated)::DOUBLE AS n1, count(*) FILTER (NOT treated)::DOUBLE AS n2,
       (sum(rk) FILTER (treated))::DOUBLE AS r1, sum(same * same - 1)::DOUBLE AS ties FROM r GROUP BY 1),
-  u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u1, n1 + n2 AS n FROM s),
+  u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u1, n1 + n2 AS n FROM s WHERE n1 > 0 AND n2 > 0),
   z AS (
     SELECT *, (greatest(u1, n1 * n2 - u1) - n1 * n2 / 2 - 0.5)
-      / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM u)
-  SELECT metric, {rnd('u1', 6)} AS u_statistic, {rnd('z', 6)} AS z_score,
-    {rnd('least(1, 2 * ' + phi('-z') + ')', 6)} AS p_value,
+      / nullif(sqrt(n1 * n2 / 12 * (n + 1 - coalesce(ties / nullif(n * (n - 1), 0), 0))), 0) AS z FROM u)
+  SELECT metric AS {label}, {rnd('u1', 6)} AS u_statistic, {rnd('z', 6)} AS z_score,
+    CASE WHEN ties = 0 AND greatest(n1, n2) <= {EXACT} THEN {rnd('least(1, 2 * upper)', 6)}
+      ELSE {rnd('least(1, 2 * ' + phi('-z') + ')', 6)} END AS p_value,
     n2::BIGINT AS sample_size_control, n1::BIGINT AS sample_size_treatment
-  FROM z"""
+  FROM z LEFT JOIN law ON ties = 0 AND law.r = n AND j = n1
+    AND law.s = greatest(u1, n1 * n2 - u1) + n1 * (n1 + 1) / 2"""
+
+
+STATEMENTS["ab_mann_whitney"] = _rank_sum("measured", "metric")
+CTES["measured_by_week"] = """
+  SELECT strftime(date_trunc('week', signup_date), '%Y-%m-%d') AS metric, answered AS treated, avg_bet_size AS value
+  FROM user_values JOIN customers USING (customer_id) WHERE answered IS NOT NULL AND avg_bet_size IS NOT NULL"""
+STATEMENTS["ab_rank_sum_by_week"] = _rank_sum("measured_by_week", "signup_week")
+
+
+def _quantile(p: str) -> str:
+    """Normal quantile: an approximation to three digits, then five steps of Newton's method."""
+    x = "x0"
+    steps = ("SELECT p, CASE WHEN p < 0.5 THEN -1 ELSE 1 END * (v - (2.515517 + 0.802853 * v + 0.010328 * v * v) "
+             "/ (1 + 1.432788 * v + 0.189269 * v * v + 0.001308 * v * v * v)) AS x0 "
+             f"FROM (SELECT p, sqrt(-2 * ln(least(p, 1 - p))) AS v FROM (SELECT ({p})::DOUBLE AS p))")
+    for k in range(1, 6):
+        steps = (f"SELECT p, {x} - ({phi(x)} - p) * {(2 * math.pi) ** 0.5} * exp({x} * {x} / 2) AS x{k} FROM ({steps})")
+        x = f"x{k}"
+    return f"(SELECT {x} FROM ({steps}))"
+
 
 STATEMENTS["ab_normality_gate"] = f"""
-  WITH m AS (
-    SELECT metric, treated, count(*) AS n, avg(power(value - mu, 2)) AS m2, avg(power(value - mu, 3)) AS m3,
-      avg(power(value - mu, 4)) AS m4
-    FROM (SELECT *, avg(value) OVER (PARTITION BY metric, treated) AS mu FROM measured) GROUP BY 1, 2),
-  j AS (
-    SELECT *, CASE WHEN n > 2 AND m2 > 0
-      THEN n / 6.0 * (m3 * m3 / power(m2, 3) + power(m4 / (m2 * m2) - 3, 2) / 4) END AS jb FROM m),
-  w AS (
-    SELECT metric, max(n) FILTER (NOT treated) AS nc, max(n) FILTER (treated) AS nt,
-      max(jb) FILTER (NOT treated) AS jc, max(jb) FILTER (treated) AS jt FROM j GROUP BY 1)
-  SELECT metric, nc AS sample_size_control, nt AS sample_size_treatment, {rnd('jc', 6)} AS jb_control,
-    {rnd('exp(-jc / 2)', 6)} AS p_control, {rnd('jt', 6)} AS jb_treatment, {rnd('exp(-jt / 2)', 6)} AS p_treatment,
-    coalesce(exp(-jc / 2) > 0.05 AND exp(-jt / 2) > 0.05, false) AS is_normal
-  FROM w WHERE nc > 0 AND nt > 0"""
+  WITH v AS (
+    SELECT *, sum(same) OVER g AS n, sum(same) OVER (g ORDER BY value) - (same - 1) / 2.0 AS rk
+    FROM (SELECT metric, treated, value::DOUBLE AS value, count(*) AS same FROM measured GROUP BY ALL)
+    WINDOW g AS (PARTITION BY metric, treated)),
+  s AS (
+    SELECT metric, treated, n, same, value - sum(same * value) OVER g / n AS gap,
+      {_quantile('(rk - 0.375) / (n + 0.25)')} AS score
+    FROM v WINDOW g AS (PARTITION BY metric, treated)),
+  m AS (
+    SELECT metric, treated, max(n)::BIGINT AS n, sum(same * score * gap) AS xy, sum(same * score * score) AS yy,
+      sum(same * gap * gap) AS xx FROM s GROUP BY 1, 2),
+  j AS (SELECT *, CASE WHEN n >= 5 AND xx > 0 THEN xy * xy / (xx * yy) END AS w, ln(n::DOUBLE) AS u FROM m),
+  q AS (
+    SELECT *, {phi('(-1.2725 + 1.0521 * (ln(u) - u) - ln(greatest(1 - w, 1e-300))) / (1.0308 - 0.26758 * (ln(u) + 2 / u))')}
+      AS p FROM j),
+  x AS (
+    SELECT metric, max(n) FILTER (NOT treated) AS nc, max(n) FILTER (treated) AS nt, max(w) FILTER (NOT treated) AS wc,
+      max(w) FILTER (treated) AS wt, max(p) FILTER (NOT treated) AS pc, max(p) FILTER (treated) AS pt FROM q GROUP BY 1)
+  SELECT metric, nc AS sample_size_control, nt AS sample_size_treatment, {rnd('wc', 6)} AS w_control,
+    {rnd('pc', 6)} AS p_control, {rnd('wt', 6)} AS w_treatment, {rnd('pt', 6)} AS p_treatment,
+    coalesce(pc > 0.05 AND pt > 0.05, false) AS is_normal
+  FROM x WHERE nc > 0 AND nt > 0"""
 
 STATEMENTS["ab_campaign_roi"] = f"""
   SELECT {rnd('mt - mc', 6)} AS ltv_lift, 15.0::DOUBLE AS campaign_cost,

@@ -1,7 +1,9 @@
 """Distributions against published values, ranks and quantiles against numpy."""
 
+import itertools
 import math
 import random
+from collections import Counter
 from statistics import NormalDist
 
 import numpy as np
@@ -94,6 +96,65 @@ def test_mann_whitney_with_ties(spark):
     assert r["p_value"] == pytest.approx(2 * (1 - NormalDist().cdf(z)), abs=1e-12)
 
 
+@pytest.mark.parametrize("n,m", [(1, 1), (3, 5), (10, 10), (10, 11), (2, 10)])
+def test_exact_rank_sum_law(spark, n, m):
+    """Enumeration up to the bound, the normal approximation beyond it."""
+    random.seed(n * 20 + m)
+    values = random.sample(range(1000), n + m)
+    treated = values[:n]
+    data = [("m", "treatment" if k < n else "control", float(v)) for k, v in enumerate(values)]
+    r = abtest.mann_whitney(
+        spark.createDataFrame(data, "metric string, group string, value double")).first()
+    u = sum(a > b for a in treated for b in values[n:])
+    assert r["u_statistic"] == u
+    if m <= abtest.EXACT_ARM:
+        ways = Counter({(0, 0): 1})
+        for rank in range(1, n + m + 1):
+            for (j, s), c in list(ways.items()):
+                ways[j + 1, s + rank] += 0  # the key
+            ways = Counter({k: ways[k] + ways.get((k[0] - 1, k[1] - rank), 0) for k in ways})
+        least = max(u, n * m - u) + n * (n + 1) // 2
+        count = sum(c for (j, s), c in ways.items() if j == n and s >= least)
+        assert r["p_value"] == pytest.approx(min(1, 2 * count / math.comb(n + m, n)), abs=1e-12)
+    else:
+        sd = math.sqrt(n * m * (n + m + 1) / 12)
+        z = (max(u, n * m - u) - n * m / 2 - 0.5) / sd
+        assert r["p_value"] == pytest.approx(min(1, 2 * (1 - NormalDist().cdf(z))), abs=1e-12)
+
+
+def test_rank_sum_ways_by_enumeration(spark):
+    got = spark.createDataFrame([(3, 7)], "n int, total int").select(
+        abtest.rank_sum_ways(F.col("n"), F.col("total"))).first()[0]
+    told = Counter(sum(c) for c in itertools.combinations(range(1, 8), 3))
+    assert got == [told[s] for s in range(22)]
+
+
+def test_normal_quantile(spark):
+    ps = [1e-12, 1e-5, 0.02, 0.02425, 0.3, 0.5, 0.8, 0.99, 1 - 1e-9]
+    got = [r[0] for r in spark.createDataFrame([(p,) for p in ps], "p double").select(
+        stats.normal_quantile("p")).collect()]
+    assert got == pytest.approx([NormalDist().inv_cdf(p) for p in ps], rel=1e-9, abs=1e-12)
+
+
+def test_normality_of_an_arm_by_plain_sums(spark):
+    random.seed(5)
+    arms = {"control": [random.gauss(3, 2) for _ in range(40)],
+            "treatment": [float(random.randrange(6)) ** 2 for _ in range(60)]}
+    data = [("m", g, v) for g, values in arms.items() for v in values]
+    r = abtest.normality_gate(
+        spark.createDataFrame(data, "metric string, group string, value double")).first()
+    for g, values in arms.items():
+        n, x = len(values), np.array(values)
+        ranks = pd.Series(values).rank().to_numpy()
+        m = np.array([NormalDist().inv_cdf((k - 0.375) / (n + 0.25)) for k in ranks])
+        w = (m @ (x - x.mean())) ** 2 / ((m @ m) * ((x - x.mean()) ** 2).sum())
+        u = math.log(n)
+        z = (math.log(1 - w) - (1.0521 * (math.log(u) - u) - 1.2725)) / (
+            1.0308 - 0.26758 * (math.log(u) + 2 / u))
+        assert r[f"w_{g}"] == pytest.approx(w) and r[f"p_{g}"] == pytest.approx(1 - NormalDist().cdf(z))
+    assert r["p_control"] > 0.05 > r["p_treatment"]
+
+
 def test_bootstrap_is_repeatable_and_near_theory(spark):
     random.seed(1)
     data = [("m", g, random.gauss(m, 1.0)) for g, m in (("control", 0.0), ("treatment", 1.0))
@@ -118,9 +179,9 @@ def test_one_normality_rule_at_every_size(spark, n):
 
     flat = gate(F.col("id").cast("double"))
     assert not flat["is_normal"] and flat["sample_size_control"] == n
-    # a uniform arm has excess kurtosis -1.2: n / 6 * 1.44 / 4
-    assert flat["jb_control"] == pytest.approx(n * 0.06, rel=1e-3)
+    # the squared correlation of a uniform arm with normal scores tends to 3 / pi
+    assert flat["w_control"] == pytest.approx(3 / math.pi, abs=2e-3)
     constant = gate(F.lit(1.0))
-    assert not constant["is_normal"] and constant["jb_control"] is None
+    assert not constant["is_normal"] and constant["w_control"] is None
     bell = gate(sum((F.xxhash64("id", F.lit(k)) / 2.0**64 for k in range(50)), F.lit(0.0)))
     assert bell["p_control"] > 1e-4
