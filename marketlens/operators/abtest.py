@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.numbers import exact, fixed, ratio, share
 from marketlens.functions.ranks import ranked_values
 from marketlens.functions.stats import (
-    normal_cdf, normal_quantile, t_p_value, t_quantile, two_sided_normal, z_value,
+    normal_cdf, normal_points, normal_quantile, t_p_value, t_quantile, two_sided_normal, z_value,
 )
 from marketlens.plans.facts import attach, customer_value
 from marketlens.plans.tables import Tables
@@ -315,26 +316,73 @@ def ab_mann_whitney(t: Tables) -> DataFrame:
     return rounded(mann_whitney(value_rows(ab_users(t, "response"), list(VALUE_METRICS))))
 
 
+POISSON_TABLE = 64  # up to this mean, counts come from a table of the exact law
+_MATRIX = 1000  # values whose draws for all replicates are held at a time
+
+
+def poisson_bounds(mean: int) -> list[float]:
+    """Cumulative probabilities of 0, 1, ... until no double is left below 1."""
+    term, total, out = math.exp(-mean), 0.0, []
+    while total + term > total or len(out) < mean:
+        total += term
+        out.append(total)
+        term *= mean / len(out)
+    return out
+
+
+def scrambled(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32 bits that spreads every bit of its argument."""
+    x = (x ^ (x >> np.uint64(16))) * np.uint64(0x7FEB352D) & np.uint64(0xFFFFFFFF)
+    x = (x ^ (x >> np.uint64(15))) * np.uint64(0x846CA68B) & np.uint64(0xFFFFFFFF)
+    return x ^ (x >> np.uint64(16))
+
+
+def poisson_draws(n: np.ndarray, key: np.ndarray, replicates: int) -> np.ndarray:
+    """Poisson counts with means ``n``, a row a value and a column a replicate.
+
+    Draw (value, replicate) is a function of the value's 64-bit key and the replicate's number, so
+    there is no generator to carry on.
+    """
+    high, low = key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)
+    counter = np.arange(replicates, dtype=np.uint64)
+    bits = scrambled(scrambled(counter[None] ^ high[:, None]) ^ low[:, None])
+    u = (bits.astype(float) + 0.5) / 2.0**32
+    out = np.empty(u.shape)
+    for mean in np.unique(n[n <= POISSON_TABLE]):
+        rows = n == mean
+        out[rows] = np.searchsorted(poisson_bounds(int(mean)), u[rows], "right")
+    large = np.flatnonzero(n > POISSON_TABLE)
+    if len(large):  # the normal law, whose error in a sum of many is far below the draws' own
+        m = n[large, None].astype(float)
+        out[large] = np.maximum(np.floor(m + np.sqrt(m) * normal_points(u[large]) + 0.5), 0)
+    return out
+
+
 def bootstrap_replicates(rows: DataFrame, replicates: int = 1000, seed: int = 7) -> DataFrame:
     """Poisson bootstrap sums: metric, group, replicate, rows drawn, sum drawn.
 
     A resample of n equal values is a Poisson(n) count, so equal values are merged first
-    and each distinct value draws one count per replicate. The generator is keyed by the
-    value itself: a lost task recomputes exactly the same draws. Tasks emit only their
-    own totals, ``replicates`` rows per metric and arm.
+    and each distinct value draws one count per replicate, keyed by the value to six digits:
+    a lost task recomputes exactly the same draws. Batches are matrices; tasks emit only
+    their own totals, ``replicates`` rows per metric and arm.
     """
-    distinct = rows.groupBy("metric", "group", "value").agg(F.count("*").alias("n")).withColumn(
-        "key", F.xxhash64("metric", "group", "value", F.lit(seed)))
+    value = F.col("value").cast("double")
+    text = F.concat_ws("|", F.lit(str(seed)), "metric", "group", F.round(value * 1e6).cast("long"))
+    half = [F.conv(F.substring(F.md5(text), k, 8), 16, 10).cast("long") for k in (1, 9)]
+    distinct = rows.groupBy("metric", "group", value.alias("value")).agg(
+        F.count("*").alias("n")).select("metric", "group", "value", "n", *[
+            h.alias(name) for h, name in zip(half, ("high", "low"), strict=True)])
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple[str, str], np.ndarray] = {}
         for batch in batches:
-            for metric, group, value, n, key in batch.itertuples(index=False):
-                generator = np.random.Generator(np.random.Philox(key=key & (2**64 - 1)))
-                drawn = generator.poisson(n, replicates)
-                total = sums.setdefault((metric, group), np.zeros((2, replicates)))
-                total[0] += drawn
-                total[1] += drawn * value
+            for arm, part in batch.groupby(["metric", "group"], sort=False):
+                total = sums.setdefault(arm, np.zeros((2, replicates)))
+                key = (part["high"].to_numpy(np.uint64) << np.uint64(32)) | part["low"].to_numpy(np.uint64)
+                n, x = part["n"].to_numpy(), part["value"].to_numpy()
+                for k in range(0, len(part), _MATRIX):
+                    drawn = poisson_draws(n[k:k + _MATRIX], key[k:k + _MATRIX], replicates)
+                    total += np.stack([np.ones(len(drawn)), x[k:k + _MATRIX]]) @ drawn
         for (metric, group), total in sums.items():
             yield pd.DataFrame({"metric": metric, "group": group,
                                 "replicate": np.arange(replicates),
@@ -361,10 +409,10 @@ def bootstrap_margin(rows: DataFrame, alpha: float = 0.05, replicates: int = 100
 def ab_bootstrap_ci(t: Tables) -> DataFrame:
     rows = value_rows(ab_users(t, "response"), list(VALUE_METRICS))
     lift = welch(continuous_stats(rows)).select("metric", "lift")
-    return lift.join(bootstrap_margin(rows), "metric").select(
+    return rounded(lift.join(bootstrap_margin(rows), "metric").select(
         "metric", "lift", "replicates", "mean_difference", "margin",
         (F.col("lift") - F.col("margin")).alias("ci_lower"),
-        (F.col("lift") + F.col("margin")).alias("ci_upper"))
+        (F.col("lift") + F.col("margin")).alias("ci_upper")))
 
 
 LEAST_FOR_NORMALITY = 5

@@ -232,3 +232,42 @@ STATEMENTS["ab_welch_p"] = f"""
     nt::BIGINT AS sample_size_treatment, {rnd('p', 6)} AS p_value, {rnd('lift - t * se', 6)} AS ci_lower,
     {rnd('lift + t * se', 6)} AS ci_upper, p < 0.05 AS is_significant
   FROM p JOIN q USING (metric) WHERE step = 8"""
+
+
+# Poisson bootstrap with the same draws: two rounds of a 32-bit scrambler over key and replicate.
+REPLICATES, COMMON = 1000, 8  # a value that more customers share is not drawn here
+
+
+def _bounds(mean: int) -> str:
+    total, out = 0.0, []
+    for k in range(60):
+        total += math.exp(-mean) * mean ** k / math.factorial(k)
+        out.append(repr(min(total, 1.0)))
+    return f"WHEN {mean} THEN [{', '.join(out)}]"
+
+
+STATEMENTS["ab_bootstrap_ci"] = f"""
+  WITH v AS (
+    SELECT metric, treated, value::DOUBLE AS value, count(*) AS n,
+      md5('7|' || metric || '|' || CASE WHEN treated THEN 'treatment' ELSE 'control' END || '|'
+        || round(value::DOUBLE * 1e6)::BIGINT) AS m FROM measured GROUP BY ALL),
+  k AS (
+    SELECT metric, treated, value, ('0x' || m[1:8])::UBIGINT AS high, ('0x' || m[9:16])::UBIGINT AS low,
+      CASE n {' '.join(_bounds(k) for k in range(1, COMMON + 1))} END::DOUBLE[] AS bounds FROM v),
+  a AS (SELECT * EXCLUDE (high), r, xor(r::UBIGINT, high) AS x FROM k, range({REPLICATES}) AS t(r)),
+  b AS (SELECT * EXCLUDE (x), (xor(x, x >> 16) * {0x7FEB352D}) & 4294967295 AS x FROM a),
+  c AS (SELECT * EXCLUDE (x), (xor(x, x >> 15) * {0x846CA68B}) & 4294967295 AS x FROM b),
+  d AS (SELECT * EXCLUDE (x, low), xor(xor(x, x >> 16), low) AS x FROM c),
+  e AS (SELECT * EXCLUDE (x), (xor(x, x >> 16) * {0x7FEB352D}) & 4294967295 AS x FROM d),
+  f AS (SELECT * EXCLUDE (x), (xor(x, x >> 15) * {0x846CA68B}) & 4294967295 AS x FROM e),
+  u AS (SELECT metric, treated, value, r, bounds, (xor(x, x >> 16)::DOUBLE + 0.5) / 4294967296.0::DOUBLE AS u FROM f),
+  w AS (SELECT metric, treated, value, r, list_count(list_filter(bounds, lambda c: c <= u))::DOUBLE AS n FROM u),
+  g AS (
+    SELECT metric, r, sum(n * value) FILTER (treated) / sum(n) FILTER (treated)
+      - sum(n * value) FILTER (NOT treated) / sum(n) FILTER (NOT treated) AS gap FROM w GROUP BY 1, 2),
+  h AS (
+    SELECT metric, count(*) AS replicates, avg(gap) AS mean_difference,
+      (quantile_cont(gap, 0.975) - quantile_cont(gap, 0.025)) / 2 AS margin FROM g GROUP BY 1)
+  SELECT metric, {rnd('mt - mc', 6)} AS lift, replicates, {rnd('mean_difference', 6)} AS mean_difference,
+    {rnd('margin', 6)} AS margin, {rnd('mt - mc - margin', 6)} AS ci_lower, {rnd('mt - mc + margin', 6)} AS ci_upper
+  FROM h JOIN arms USING (metric)"""

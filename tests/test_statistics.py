@@ -185,3 +185,20 @@ def test_one_normality_rule_at_every_size(spark, n):
     assert not constant["is_normal"] and constant["w_control"] is None
     bell = gate(sum((F.xxhash64("id", F.lit(k)) / 2.0**64 for k in range(50)), F.lit(0.0)))
     assert bell["p_control"] > 1e-4
+
+
+@pytest.mark.parametrize("mean", [1, 2, 64, 65, 5000])
+def test_poisson_draws(mean):
+    """Mean and variance on both sides of the table's bound, and no dependence on the company."""
+    r = np.random.default_rng(3)
+    key = r.integers(0, 2**63, 400).astype(np.uint64)
+    n = np.full(400, mean)
+    drawn = abtest.poisson_draws(n, key, 500)
+    assert drawn.mean() == pytest.approx(mean, rel=0.01) and drawn.var() == pytest.approx(mean, rel=0.03)
+    assert (abtest.poisson_draws(n[7:9], key[7:9], 500) == drawn[7:9]).all()
+    assert abs(np.corrcoef(drawn[0], drawn[1])[0, 1]) < 0.2
+
+
+def test_normal_points():
+    ps = np.array([1e-9, 0.01, 0.3, 0.5, 0.9, 1 - 1e-6])
+    assert stats.normal_points(ps) == pytest.approx([NormalDist().inv_cdf(p) for p in ps], rel=1e-7, abs=1e-9)
