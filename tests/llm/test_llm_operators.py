@@ -217,6 +217,42 @@ def test_exact_dedup_null_and_repeated_ids(spark):
                    ("None", "None", 3, True)]
 
 
+def test_exact_dedup_decides_by_id_and_text(spark):
+    frame = spark.createDataFrame(
+        [(1, "a b c", "p"), (2, "abc", "q"), (2, "zzz", "r"), (3, "x y", "s"), (3, "xy ", "t")],
+        "doc_id long, text string, tie string")
+    got = {r["tie"] for r in exact_dedup.deduplicate(frame).collect()}
+    # the copy under id 2 goes, the other text under id 2 stays; of two rows of id 3 one stays
+    assert got in ({"p", "r", "s"}, {"p", "r", "t"})
+    flags = [(r["doc_id"], r["kept"]) for r in exact_dedup.classes(frame).collect()]
+    assert sorted(flags) == [(1, True), (2, False), (2, True), (3, False), (3, True)]
+
+
+def test_exact_dedup_slices_large_groups(spark):
+    data = ([(i, "same text" + " " * (i % 3)) for i in range(3000)] + [(i, "") for i in range(3000, 5000)]
+            + [(i, f"own {i}") for i in range(5000, 6000)])
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(7)
+    columns = ("keep_id", "group_size", "kept", "text_sha256")
+    assert found(exact_dedup.classes(frame), *columns) == brute.exact_classes(data)
+    assert exact_dedup.deduplicate(frame).count() == 1002
+
+
+def test_exact_dedup_shuffles_texts_once(small, monkeypatch):
+    plans = []
+    keep = exact_dedup.stored
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(df, name)
+
+    monkeypatch.setattr(exact_dedup, "stored", noted)
+    exact_dedup.classes(small)
+    plan = dict(plans)["exact-runs"]
+    # the broadcast list of slices is counted by hash; the texts meet by range only
+    assert plan.count("Exchange rangepartitioning") == 1
+    assert "Exchange hashpartitioning(prefix" not in plan and "hashpartitioning(norm" not in plan
+
+
 def test_quality_learns_grades(spark):
     r = random.Random(4)
     plain = [f"w{k}" for k in range(50)]
