@@ -165,13 +165,15 @@ def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, ratings: DataFrame) -> Model:
     """``ratings`` has doc_id and an integer grade."""
     order = F.xxhash64("doc_id", F.lit(SEED))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
+    # only ratings that have a text count towards the sample
     rated = (ratings.select(F.col("doc_id").cast("long").alias("rated_id"),
                             F.col("grade").cast("long").alias("grade"))
              .where("rated_id IS NOT NULL AND grade IS NOT NULL")
              .groupBy("rated_id").agg(F.min("grade").alias("grade"))
+             .join(texts.select(F.col("doc_id").alias("rated_id")), "rated_id", "left_semi")
              .orderBy(F.xxhash64("rated_id", F.lit(SEED)), "rated_id").limit(SAMPLE))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(
-        "text IS NOT NULL").join(F.broadcast(rated), F.col("doc_id") == F.col("rated_id"))
+    rows = texts.join(F.broadcast(rated), F.col("doc_id") == F.col("rated_id"))
     # an id that repeats gives one text
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("grade").alias("grade"))
     made = rows.repartition(1).sortWithinPartitions(order).mapInArrow(
