@@ -213,9 +213,11 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One text a key: the wanted columns (key and id among them) beside the text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    return rows.join(wanted.hint("merge"), F.col("_id").eqNullSafe(F.col("id")))
+    """One text a key: the wanted columns (key, id and tie among them) beside the text. Rows
+    without id, or that repeat one, are told apart by tie, the hash of their text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), _tie(F.col("text")).alias("_tie"), "text")
+    return rows.join(wanted.hint("merge"), F.col("_id").eqNullSafe(F.col("id"))
+                     & (F.col("_tie") == F.col("tie")))
 
 
 def _alike(other: str) -> Column:
@@ -272,7 +274,7 @@ def _counted(rest: DataFrame) -> DataFrame:
         (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("apart"))
 
 
-def _crowded(docs: DataFrame, rest: DataFrame, labels: DataFrame) -> DataFrame:
+def _crowded(docs: DataFrame, texts: DataFrame, rest: DataFrame, labels: DataFrame) -> DataFrame:
     """``rest``, labelled, with the buckets that are still crowded split on further levels."""
     rest = stored(_mixed(rest, labels), "rest")
     for _ in range(4):
@@ -282,7 +284,8 @@ def _crowded(docs: DataFrame, rest: DataFrame, labels: DataFrame) -> DataFrame:
         over = rest.join(big, "path", "left_semi")
         known = over.groupBy("key").agg(F.collect_set("path").alias("paths"),
                                         F.first(F.struct("id", "n", "bits")).alias("own"))
-        wanted = known.select(F.col("key").alias("known"), F.col("own.id").alias("id"), "paths")
+        wanted = known.select("key", "paths").join(texts.select("key", "id", "tie"), "key").select(
+            F.col("key").alias("known"), "id", "tie", "paths")
         split = _texts_of(docs, wanted).select("text", "paths").mapInArrow(
             _deeper, "key binary, paths array<long>")
         again = split.select("key", F.explode("paths").alias("path")).distinct().join(
@@ -394,7 +397,7 @@ def _verified(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     count = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
     placed = clusters.join(count, "cluster").withColumn(
         "tile", F.pmod(F.xxhash64("key"), F.col("tiles")))
-    wanted = placed.select(F.col("key").alias("known"), "id")
+    wanted = placed.select(F.col("key").alias("known"), "id", "tie")
     sets = _texts_of(docs, wanted).select("text").mapInArrow(
         _whole_sets, "key binary, shingles array<long>").dropDuplicates(["key"])
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("mate")
@@ -426,8 +429,9 @@ def _classes(docs: DataFrame) -> DataFrame:
                               "text").mapInArrow(
         _scan, "doc_id long, tie long, key binary, n long, bits array<long>, paths array<long>"), "sets")
     filled = rows.where("key IS NOT NULL")
-    texts = filled.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"))
-    texts = stored(texts, "texts")
+    texts = filled.groupBy("key").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("least"), F.count("*").alias("rows"))
+    texts = stored(texts.select("key", F.col("least.doc_id").alias("id"), "least.tie", "rows"), "texts")
     single = stored(filled.select("key", "n", "bits", "paths").dropDuplicates(["key"]), "single")
     shared = single.select(F.explode("paths").alias("path")).groupBy("path").count().where(
         "count > 1").select("path")
@@ -442,7 +446,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     led = stored(first.unionByName(second).distinct(), "pairs")
     # what two texts of one cluster share is settled in the cluster
     labels = components(led.select(F.col("key").alias("a"), F.col("other").alias("b")))
-    rest = _crowded(docs, rest, labels)
+    rest = _crowded(docs, texts, rest, labels)
     # the largest cluster of a bucket meets the others, which meet one another as well
     fewer = rest.join(_counted(rest).select("path", "largest.label"), ["path", "label"], "left_anti")
     mate = rest.select("path", F.struct("key", "label", "n", "bits").alias("mate"))
@@ -459,7 +463,7 @@ def _classes(docs: DataFrame) -> DataFrame:
                       "label", "left")
                 .select("node", F.coalesce("whole", "label").alias("cluster")))
     clusters = stored(clusters.join(texts, clusters["node"] == texts["key"]).select(
-        "key", "id", "cluster"), "clusters")
+        "key", "id", "tie", "cluster"), "clusters")
 
     links = stored(_verified(docs, clusters), "links")
     degrees = links.groupBy("key").agg(F.sum("degree").alias("n_links"))

@@ -276,6 +276,18 @@ def test_quality_learns_grades(spark):
     assert means[0] < means[1] < means[2]
 
 
+def test_quality_uses_ratings_that_have_a_text(spark, monkeypatch):
+    """Ratings of documents that are not there take no place in the sample."""
+    monkeypatch.setattr(quality, "SAMPLE", 300)
+    words = {0: "bad awful poor", 1: "good fine great"}
+    data = [(i, " ".join([words[i % 2]] * 5 + [f"w{i}"])) for i in range(400)]
+    ratings = spark.range(20000).selectExpr("id AS doc_id", "id % 2 AS grade")
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    tail = {r["doc_id"]: r["tail_probability"] for r in quality.scores(frame, ratings).collect()}
+    # of 20000 ratings, 300 by hash alone would leave about 6 with a text
+    assert min(tail[i] for i in range(1, 400, 2)) > 0.9 > 0.1 > max(tail[i] for i in range(0, 400, 2))
+
+
 def test_quality_awkward(docs, clashing, ratings):
     got = quality.scores(clashing, ratings).collect()
     assert len(got) == docs.count() and all(0 <= r["tail_probability"] <= 1 for r in got)
@@ -503,6 +515,22 @@ def test_jaccard_deduplicate_repeated_ids(spark):
     assert {(r["doc_id"], r["text"]) for r in kept.collect()} == {(3, a), (5, b), (5, None), (None, a)}
 
 
+def test_jaccard_many_rows_without_id(spark, monkeypatch):
+    """Rows without id meet their own text only, not one another."""
+    base, counts = [f"b{k}" for k in range(100)], []
+    data = [(None, " ".join([*base, f"own{i}"])) for i in range(600)]
+    keep = jaccard_join._texts_of
+
+    def counted(docs, wanted):
+        counts.append((keep(docs, wanted).count(), wanted.count()))
+        return keep(docs, wanted)
+
+    monkeypatch.setattr(jaccard_join, "_texts_of", counted)
+    got = jaccard_join.classes(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert len(got) == 600 and all(r["class_rows"] == 600 and r["n_links"] == 599 for r in got)
+    assert counts and all(rows == wanted for rows, wanted in counts)
+
+
 def test_token_counts(spark, docs, clashing, small):
     tokenizer = Tokenizer.from_file(BYTE_BPE)
     r = random.Random(1)
