@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlens.functions.calendar import dense_days
 from marketlens.functions.dates import day, whole_days
 from marketlens.functions.numbers import (
     exact, fixed, growth, ladder, percent, ratio, share, zero,
@@ -219,8 +220,9 @@ def sports_preference(t: Tables) -> DataFrame:
     )
 
 
-def daily_timeseries(t: Tables) -> DataFrame:
-    """Moving averages and changes over day rows (not calendar days)."""
+def daily_timeseries(t: Tables, dense: bool = False) -> DataFrame:
+    """Moving averages and changes over day rows; with ``dense``, over calendar days, where days
+    without activity count as 0."""
     order = Window.orderBy("activity_date")  # one row per day: calendar-sized
     week = order.rowsBetween(-6, 0)
 
@@ -234,7 +236,10 @@ def daily_timeseries(t: Tables) -> DataFrame:
 
     date = F.col("activity_date")
     dow = F.dayofweek(date) - 1  # 0 = Sunday
-    return daily_engagement(t).select(
+    rows = daily_engagement(t)
+    if dense:
+        rows = dense_days(rows, "activity_date", zeros=[c for c in rows.columns if c != "activity_date"])
+    return rows.select(
         date.alias("date"), "daily_active_users", "daily_betting_users", "total_bets",
         "total_wagered", "gross_gaming_revenue", "deposits_amount", "avg_bet_size",
         mean("daily_active_users", 0).alias("ma7_active_users"),

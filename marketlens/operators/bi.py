@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlens.functions.calendar import dense_days
 from marketlens.functions.dates import (
     day, month_offset, month_start, week_start, whole_days,
 )
@@ -88,21 +89,22 @@ def campaign_measures(t: Tables) -> DataFrame:
 
 def monthly(t: Tables) -> DataFrame:
     """Active users, revenue per user, revenue net of promotion and betting frequency."""
-    days = customer_bet_days(t).withColumn("month", month_start("bet_day"))
-    users = days.groupBy("month", "customer_id").agg(
-        F.sum("wagered").alias("wagered"), F.sum("payouts").alias("paid"),
-        F.sum("bets").alias("bets"), F.count("*").alias("days"))
-    per_month = users.groupBy("month").agg(
-        F.count("*").alias("mau"), F.sum(F.col("wagered") - F.col("paid")).alias("ggr"),
-        F.sum("bets").alias("bets"), F.sum("days").alias("user_days"))
-    dates = days.groupBy("month", "bet_day").agg(F.lit(1).alias("x")).groupBy("month").agg(
-        F.count("*").alias("dates"))
+    # a window holds the betting days of one customer in one month
+    whole = Window.partitionBy("customer_id", month_start("bet_day"))
+    days = customer_bet_days(t).withColumn("opens", F.col("bet_day") == F.min("bet_day").over(whole))
+    per_day = days.groupBy("bet_day").agg(
+        F.count_if("opens").alias("opened"), F.sum(F.col("wagered") - F.col("payouts")).alias("ggr"),
+        F.sum("bets").alias("bets"), F.count("*").alias("users"))
+    # a customer opens each of its months once: the sum over days counts distinct users
+    per_month = per_day.groupBy(month_start("bet_day").alias("month")).agg(
+        F.sum("opened").alias("mau"), F.sum("ggr").alias("ggr"), F.sum("bets").alias("bets"),
+        F.sum("users").alias("user_days"), F.count("*").alias("dates"))
     promo = t.customer_campaigns.join(
         t.campaigns.select("campaign_id", "bonus_amount"), "campaign_id",
     ).groupBy(month_start("sent_date").alias("month")).agg(
         F.sum(F.col("campaign_cost") + F.when(F.col("bonus_claimed"), F.col("bonus_amount"))
               .otherwise(0)).alias("promo"))
-    rows = per_month.join(dates, "month").join(promo, "month", "left")
+    rows = per_month.join(promo, "month", "left")
     return rows.select(
         "month", "mau", share("user_days", "dates", 6).alias("avg_dau"), "bets",
         F.col("ggr").alias("gross_gaming_revenue"), zero("promo").alias("promotional_cost"),
@@ -143,8 +145,11 @@ def daily_revenue(t: Tables) -> DataFrame:
         F.sum("bet_amount").alias("wagered"))
 
 
-def daily_monitor(t: Tables, target: float = 500.0) -> DataFrame:
-    """Revenue against the day before, with an alert, a 7-row mean and a daily target."""
+def daily_monitor(t: Tables, target: float = 500.0, dense: bool = False) -> DataFrame:
+    """Revenue against the day before, with an alert, a 7-row mean and a daily target.
+
+    ``dense`` adds the days without bets with a revenue of 0, so the mean is one of 7 days.
+    """
     order = Window.orderBy("date")  # one row per day: calendar-sized
     before = F.when(F.datediff("date", F.lag("date").over(order)) == 1,
                     F.lag("revenue").over(order))
@@ -152,7 +157,10 @@ def daily_monitor(t: Tables, target: float = 500.0) -> DataFrame:
     change = ratio(F.col("revenue") - F.col("yesterday"), "yesterday")
     alert = F.when(F.col("change") < -ALERT_THRESHOLD, ALERT_DOWN).when(
         F.col("change") > ALERT_THRESHOLD, ALERT_UP).otherwise(ALERT_STABLE)
-    rows = daily_revenue(t).withColumn("yesterday", before).withColumn("change", change)
+    rows = daily_revenue(t).select("date", "revenue")
+    if dense:
+        rows = dense_days(rows, "date", zeros=["revenue"])
+    rows = rows.withColumn("yesterday", before).withColumn("change", change)
     return rows.select(
         "date", F.col("revenue").alias("revenue_today"),
         F.col("yesterday").alias("revenue_yesterday"),
@@ -162,6 +170,16 @@ def daily_monitor(t: Tables, target: float = 500.0) -> DataFrame:
         ratio("revenue", F.lit(target).cast("decimal(20,2)"), 6).alias("target_achievement"))
 
 
+def sport_days(t: Tables) -> DataFrame:
+    """Every day of each sport between its first bet and its last: bets, revenue, and the mean
+    stake of the last day that had any."""
+    rows = t.betting_activity.groupBy("sport", day("bet_date").alias("date")).agg(
+        F.count("*").alias("bets"), F.sum(F.col("bet_amount") - F.col("payout")).alias("revenue"),
+        ratio(F.sum("bet_amount"), exact(F.count("*")), 2).alias("last_mean_stake"))
+    return dense_days(rows, "date", ["sport"], zeros=["bets", "revenue"],
+                      carried=["last_mean_stake"]).withColumnRenamed("present", "any_bet")
+
+
 def hourly(t: Tables) -> DataFrame:
     """Sessions and bets by hour of day."""
     visits = t.sessions.groupBy(F.hour("start_time").alias("hour_of_day")).agg(

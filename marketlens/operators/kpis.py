@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,8 +174,12 @@ def campaign_performance(t: Tables) -> DataFrame:
     return finish_campaign_performance(campaign_sends(t), revenue)
 
 
-def daily_facts(t: Tables) -> DataFrame:
-    """Per day: users by activity and the sums of all three facts, in two reductions."""
+def daily_facts(t: Tables, period: Callable[[str], Column] | None = None) -> DataFrame:
+    """Per day: users by activity and the sums of all three facts, in two reductions.
+
+    With a ``period``, ``period_users`` counts the customers whose first day in the period it is,
+    so that its sum over a period's days is the period's distinct users, without a second read.
+    """
     bets = t.betting_activity.select(
         "customer_id", day("bet_date").alias("activity_date"), F.lit(1).alias("bet"),
         "bet_amount", "payout")
@@ -189,6 +195,13 @@ def daily_facts(t: Tables) -> DataFrame:
                 "duration_minutes", "timed"]
     per_customer = rows.groupBy("activity_date", "customer_id").agg(
         *[F.sum(m).alias(m) for m in measures])
+    more = []
+    if period is not None:
+        # a window holds the days of one customer in one period
+        whole = Window.partitionBy("customer_id", period("activity_date"))
+        per_customer = per_customer.withColumn(
+            "opens", F.col("activity_date") == F.min("activity_date").over(whole))
+        more = [F.count_if("opens").alias("period_users")]
     total = lambda c: zero(F.sum(c))
     return per_customer.groupBy("activity_date").agg(
         F.count("*").alias("daily_active_users"),
@@ -198,11 +211,11 @@ def daily_facts(t: Tables) -> DataFrame:
         total("bet").alias("total_bets"), total("bet_amount").alias("total_wagered"),
         total("payout").alias("total_payouts"), total("deposit").alias("deposits_count"),
         total("amount").alias("deposits_amount"), total("visit").alias("total_sessions"),
-        total("duration_minutes").alias("minutes"), total("timed").alias("timed"),
+        total("duration_minutes").alias("minutes"), total("timed").alias("timed"), *more,
     )
 
 
-def finish_daily(frame: DataFrame) -> DataFrame:
+def finish_daily(frame: DataFrame, *more: str) -> DataFrame:
     def guarded(top: Column, bottom: str) -> Column:
         return zero(ratio(top, exact(bottom), 2))
 
@@ -214,7 +227,7 @@ def finish_daily(frame: DataFrame) -> DataFrame:
         guarded(exact("minutes"), "timed").alias("avg_session_duration"),
         guarded(exact("total_bets"), "daily_betting_users").alias("bets_per_betting_user"),
         guarded(F.col("total_wagered"), "total_bets").alias("avg_bet_size"),
-        guarded(exact("total_sessions"), "daily_active_users").alias("sessions_per_user"),
+        guarded(exact("total_sessions"), "daily_active_users").alias("sessions_per_user"), *more,
     )
 
 
@@ -228,7 +241,8 @@ def weekly_trends(t: Tables) -> DataFrame:
     ``total_weekly_active_users`` adds up daily users; ``distinct_weekly_users`` counts
     each customer once.
     """
-    daily = daily_engagement(t).withColumn("week_start", week_start("activity_date"))
+    daily = finish_daily(daily_facts(t, week_start), "period_users").withColumn(
+        "week_start", week_start("activity_date"))
     weekly = daily.groupBy("week_start").agg(
         F.sum("daily_active_users").alias("total_weekly_active_users"),
         F.sum("total_bets").alias("total_weekly_bets"),
@@ -236,18 +250,12 @@ def weekly_trends(t: Tables) -> DataFrame:
         F.sum("gross_gaming_revenue").alias("total_weekly_ggr"),
         F.sum("deposits_amount").alias("total_weekly_deposits"),
         F.sum("avg_bet_size").alias("bet_size"), F.count("*").alias("days_in_week"),
+        F.sum("period_users").alias("distinct_weekly_users"),
     )
-    stamps = [
-        t.betting_activity.select("customer_id", week_start("bet_date").alias("week_start")),
-        t.ledger.select("customer_id", week_start("transaction_date").alias("week_start")),
-        t.sessions.select("customer_id", week_start("start_time").alias("week_start")),
-    ]
-    users = stamps[0].unionByName(stamps[1]).unionByName(stamps[2]).groupBy("week_start").agg(
-        F.countDistinct("customer_id").alias("distinct_weekly_users"))
     # ordered over weeks: calendar-sized, whatever the volume of the facts
     order = Window.orderBy("week_start")
     previous = lambda c: F.lag(c).over(order)
-    return weekly.join(users, "week_start").select(
+    return weekly.select(
         "week_start", F.date_add("week_start", 6).alias("week_end"),
         "total_weekly_active_users", "distinct_weekly_users",
         share("total_weekly_active_users", "days_in_week", 0).alias("avg_daily_active_users"),

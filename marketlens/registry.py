@@ -34,6 +34,7 @@ OPERATORS: dict[str, Operator] = {
     "campaign_deep_analysis": advanced.campaign_deep_analysis,
     "sports_preference": advanced.sports_preference,
     "daily_timeseries": advanced.daily_timeseries,
+    "daily_timeseries_dense": lambda t: advanced.daily_timeseries(t, dense=True),
     "data_quality_summary": quality.data_quality_summary,
     "database_summary": quality.database_summary,
     "dq_primary_key": quality.dq_primary_key,
@@ -105,6 +106,8 @@ OPERATORS: dict[str, Operator] = {
     "bi_cohort": bi.cohort,
     "bi_rfm_lifecycle": bi.rfm_lifecycle,
     "bi_daily_monitor": bi.daily_monitor,
+    "bi_daily_monitor_dense": lambda t: bi.daily_monitor(t, dense=True),
+    "bi_sport_days": bi.sport_days,
     "bi_hourly": bi.hourly,
     "bi_calendar": bi.calendar,
     "bi_stats": bi.series_stats,

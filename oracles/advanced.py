@@ -127,7 +127,8 @@ def _change(column: str) -> str:
     return rnd(f"100 * ({column}::DOUBLE - lag({column}) OVER o) / nullif(lag({column}) OVER o, 0)")
 
 
-STATEMENTS["daily_timeseries"] = f"""
+def _timeseries(source: str) -> str:
+    return f"""
   SELECT activity_date AS date, daily_active_users, daily_betting_users, total_bets, total_wagered,
     gross_gaming_revenue, deposits_amount, avg_bet_size,
     {rnd('avg(daily_active_users) OVER w7', 0)} AS ma7_active_users,
@@ -136,4 +137,12 @@ STATEMENTS["daily_timeseries"] = f"""
     {_change('gross_gaming_revenue')} AS dod_change_ggr,
     extract(dow FROM activity_date) AS day_of_week, dayname(activity_date) AS day_name,
     quarter(activity_date) AS quarter, month(activity_date) AS month, week(activity_date) AS week_of_year
-  FROM daily WINDOW o AS (ORDER BY activity_date), w7 AS (ORDER BY activity_date ROWS 6 PRECEDING)"""
+  FROM {source} WINDOW o AS (ORDER BY activity_date), w7 AS (ORDER BY activity_date ROWS 6 PRECEDING)"""
+
+
+STATEMENTS["daily_timeseries"] = _timeseries("daily")
+STATEMENTS["daily_timeseries_dense"] = _timeseries("""(
+    SELECT activity_date, coalesce(COLUMNS(* EXCLUDE (activity_date)), 0)
+    FROM (SELECT unnest(generate_series(min(activity_date)::TIMESTAMP, max(activity_date)::TIMESTAMP,
+        INTERVAL 1 DAY))::DATE AS activity_date FROM daily)
+      LEFT JOIN daily USING (activity_date))""")

@@ -86,11 +86,13 @@ STATEMENTS["bi_rfm_lifecycle"] = f"""
 CTES["day_revenue"] = """
   SELECT bet_date::DATE AS date, sum(bet_amount - payout) AS revenue FROM betting_activity GROUP BY 1"""
 
-STATEMENTS["bi_daily_monitor"] = f"""
+
+def _monitor(source: str) -> str:
+    return f"""
   WITH y AS (
     SELECT d.date, d.revenue::DOUBLE AS r, p.revenue::DOUBLE AS yesterday,
       (d.revenue - p.revenue)::DOUBLE / nullif(p.revenue, 0) AS change
-    FROM day_revenue d LEFT JOIN day_revenue p ON p.date = d.date - 1)
+    FROM {source} d LEFT JOIN {source} p ON p.date = d.date - 1)
   SELECT date, r AS revenue_today, yesterday AS revenue_yesterday, {rnd('change', 6)} AS daily_revenue_change,
     CASE WHEN change < -0.1 THEN '🔴 Down >10%' WHEN change > 0.1 THEN '🟢 Up >10%' ELSE '🟡 Stable' END
       AS performance_alert,
@@ -98,6 +100,26 @@ STATEMENTS["bi_daily_monitor"] = f"""
     {rnd('r / 500', 6)} AS target_achievement
   FROM y"""
 
+
+CTES["dense_revenue"] = """
+  SELECT date, coalesce(revenue, 0) AS revenue
+  FROM (SELECT unnest(generate_series(min(date)::TIMESTAMP, max(date)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS date
+        FROM day_revenue) LEFT JOIN day_revenue USING (date)"""
+STATEMENTS["bi_daily_monitor"] = _monitor("day_revenue")
+STATEMENTS["bi_daily_monitor_dense"] = _monitor("dense_revenue")
+
+STATEMENTS["bi_sport_days"] = f"""
+  WITH r AS (
+    SELECT sport, bet_date::DATE AS date, count(*) AS n, sum(bet_amount - payout) AS revenue,
+      {rnd('sum(bet_amount)::DOUBLE / count(*)')} AS stake FROM betting_activity GROUP BY 1, 2),
+  d AS (
+    SELECT sport, unnest(generate_series(min(date)::TIMESTAMP, max(date)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS date
+    FROM r GROUP BY 1)
+  SELECT d.sport, d.date, coalesce(n, 0) AS bets, coalesce(revenue, 0)::DOUBLE AS revenue,
+    last_value(stake IGNORE NULLS) OVER (PARTITION BY d.sport ORDER BY d.date) AS last_mean_stake,
+    n IS NOT NULL AS any_bet
+  FROM d LEFT JOIN r ON r.sport = d.sport AND r.date = d.date"""
+
 STATEMENTS["bi_hourly"] = """
   SELECT hour_of_day, coalesce(sessions, 0) AS sessions, coalesce(session_bets, 0)::BIGINT AS session_bets,
     coalesce(bets, 0) AS bets, coalesce(wagered, 0)::DOUBLE AS wagered
