@@ -140,6 +140,39 @@ def line_removals(rows):
     return out
 
 
+def passage_lines(rows, words=50):
+    """(doc_id, line) of all lines in runs of 2+ lines and over ``words`` words of an earlier text."""
+    texts = [(i, (t or "").split("\n")) for i, t in sorted(rows)]
+    gone = set()
+    for d, (i, lines) in enumerate(texts):
+        for _, earlier in texts[:d]:
+            for shift in range(1 - len(earlier), len(lines)):
+                run = []
+                for k in range(max(shift, 0), min(len(lines), len(earlier) + shift) + 1):
+                    if k < min(len(lines), len(earlier) + shift) and lines[k] == earlier[k - shift]:
+                        run.append(k)
+                        continue
+                    if len(run) > 1 and sum(len(re.findall(r"\S+", lines[j])) for j in run) > words:
+                        gone |= {(i, j) for j in run}
+                    run = []
+    return gone
+
+
+def chunk_lines(rows):
+    """(doc_id, line) of all lines in repeated chunks."""
+    seen, gone = set(), set()
+    for i, t in sorted(rows):
+        k = 0
+        for c in line_chunks(t):
+            text = "\n".join(c)
+            if len(c) >= 2 and text in seen:
+                gone |= {(i, j) for j in range(k, k + len(c))}
+            elif len(c) >= 2:
+                seen.add(text)
+            k += len(c)
+    return gone
+
+
 def contaminated(rows, items, window=10):
     wins = defaultdict(set)
     for item, text in items:

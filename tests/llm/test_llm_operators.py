@@ -1,5 +1,6 @@
 """Every operator against its plain version, on data and on awkward rows."""
 
+import functools
 import random
 
 import public_tokenizers
@@ -356,6 +357,43 @@ def test_line_dedup_passages(spark):
     assert line_dedup.removals(empty(frame), passages=True).count() == 0
 
 
+def test_line_dedup_as_registered(spark, docs, small):
+    """Chunks and passages together, line by line, against all pairs of texts."""
+    r = random.Random(11)
+    stock = [" ".join(f"w{r.randrange(50)}" for _ in range(r.choice((0, 1, 4, 9, 20, 55)))) for _ in range(25)]
+    data = []
+    for i in range(60):
+        mine = [r.choice(stock) for _ in range(r.randrange(1, 9))]
+        if data and r.random() < 0.6:
+            other = r.choice(data)[1].split("\n")
+            at = r.randrange(len(other))
+            mine[r.randrange(len(mine) + 1):0] = other[at:at + r.randrange(1, 7)]
+        data.append((i, "\n".join(mine)))
+    made = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    few = small.where("doc_id < 40 or doc_id % 9 = 0")
+    for frame in (made, docs.where("doc_id not in (9, 10, 13)"), few):
+        rows = [(x["doc_id"], x["text"]) for x in frame.select("doc_id", "text").collect()]
+        gone = brute.passage_lines(rows) | brute.chunk_lines(rows)
+        want = {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if (i, k) not in gone)
+                for i, t in rows}
+        clean = line_dedup.deduplicate(frame, passages=True)
+        assert {x["doc_id"]: x["text"] or "" for x in clean.collect()} == want
+        told = {x["doc_id"]: x for x in line_dedup.removals(frame, passages=True).collect()}
+        assert {i: x["removed_lines"] for i, x in told.items()} == {
+            i: sum(d == i for d, _ in gone) for i in want}
+        assert {i: x["kept_bytes"] for i, x in told.items()} == {i: len(t.encode()) for i, t in want.items()}
+
+
+def test_line_dedup_keeps_what_no_text_holds_in_one_piece(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
+    rows = [(1, f"{a}\n{b}"), (2, f"{b}\n{c}"), (3, f"{a}\n{b}\n{c}"), (4, f"x\n{a}\n{b}\n{c}\ny")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    rule = brute.passage_lines(rows) | brute.chunk_lines(rows)
+    assert not any(i == 3 for i, _ in brute.passage_lines(rows))
+    got = {x["doc_id"]: x["removed_lines"] for x in line_dedup.removals(frame, passages=True).collect()}
+    assert got == {i: sum(d == i for d, _ in rule) for i, _ in rows}
+
+
 @pytest.mark.parametrize("block", [8_000_000, 150])
 def test_decontaminate(docs, clashing, items, block):
     got = decontaminate.search(docs.select("doc_id", "text"), items, block_chars=block).collect()
@@ -545,7 +583,8 @@ def test_token_counts(spark, docs, clashing, small):
 
 
 def test_native_operators_run_no_python(docs, small):
-    for make in (mixing.taken, exact_dedup.classes, line_dedup.removals, pii.find):
+    passages = functools.partial(line_dedup.removals, passages=True)
+    for make in (mixing.taken, exact_dedup.classes, line_dedup.removals, passages, pii.find):
         plan = make(small)._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
