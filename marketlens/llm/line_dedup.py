@@ -126,7 +126,7 @@ def _named(cut: DataFrame, passages: bool) -> DataFrame:
     """doc_id, tie, kind (0: between boundaries, 1: short), start, stop, n1, n2 (names) of all chunks."""
     if passages:
         short = _short_spans(cut)
-        cut = cut.join(short, _same(cut, short), "left").withColumn("short", F.coalesce(
+        cut = cut.join(short.hint("merge"), _same(cut, short), "left").withColumn("short", F.coalesce(
             "short", F.array().cast(NONE)))
     else:
         cut = cut.withColumn("short", F.array().cast(NONE))
@@ -177,7 +177,7 @@ def _gone(docs: DataFrame, cut: DataFrame, passages: bool) -> DataFrame:
                               F.struct("start", "stop").alias("s")).union(heads)
               .groupBy("di", "dt").agg(F.collect_set("s").alias("wanted")))
     texts = _identity(docs)
-    parts = texts.join(wanted, _same(texts, wanted)).select(
+    parts = texts.join(wanted.hint("merge"), _same(texts, wanted)).select(
         "doc_id", "tie", "wanted", F.split("text", "\n", -1).alias("lines"))
     parts = parts.select("doc_id", "tie", F.explode(F.transform("wanted", lambda s: F.struct(
         s["start"].alias("start"), s["stop"].alias("stop"),
@@ -193,7 +193,7 @@ def _gone(docs: DataFrame, cut: DataFrame, passages: bool) -> DataFrame:
 
     own, here = at("own_", "doc_id", "tie", "start")
     head, there = at("head_", "di", "dt", "ds")
-    equal = proposed.join(own, here).join(head, there).where("own_bytes = head_bytes")
+    equal = proposed.join(own.hint("merge"), here).join(head.hint("merge"), there).where("own_bytes = head_bytes")
     return (equal.groupBy("doc_id", "tie").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("n_chunks")).otherwise(0)).alias("n_removed"),
         F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("stop") - 1)))).alias("gone"))
@@ -212,7 +212,7 @@ def removals(docs: DataFrame, passages: bool = False) -> DataFrame:
     # what is removed takes one line feed along, unless nothing is left
     sizes = F.aggregate(F.transform("gone", lambda i: F.get(F.col("lines.size"), i)), zero,
                         lambda total, size: total + size + 1)
-    return cut.join(gone, _same(cut, gone), "left").select(
+    return cut.join(gone.hint("merge"), _same(cut, gone), "left").select(
         "doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("spans").cast("long").alias("n_chunks"),
         F.coalesce("n_removed", zero).alias("n_removed"),
         F.coalesce(F.size("gone").cast("long"), zero).alias("removed_lines"),
