@@ -9,6 +9,7 @@ from the facts.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
@@ -21,8 +22,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from marketlens.functions.numbers import fixed
+from marketlens.functions.rows import spread
 from marketlens.operators.features import (
     TARGETS, banded, classification_report, curve_points, feature_matrix, with_split,
 )
@@ -118,28 +121,41 @@ def regressors(trees: int, rounds: int, seed: int) -> dict:
     }
 
 
-def training_rows(t: Tables, kind: str, seed: int = 42) -> DataFrame:
-    """Features, target and split flag with decimals as doubles, checkpointed."""
-    matrix = feature_matrix(t, kind)
+def shared_matrix(t: Tables) -> DataFrame:
+    """Features and all targets with decimals as doubles, checkpointed for all kinds of models."""
+    plain = plain_rows(feature_matrix(t))
+    checkpoint_dir(plain.sparkSession)
+    return plain.checkpoint()
+
+
+def training_rows(t: Tables, kind: str, seed: int = 42, matrix: DataFrame | None = None) -> DataFrame:
+    """Features, target and split flag with decimals as doubles, checkpointed.
+
+    ``matrix`` is the ``shared_matrix`` where one is at hand.
+    """
+    if matrix is None:
+        plain = plain_rows(feature_matrix(t, kind))
+    else:
+        plain = matrix.drop(*[c for k, c in TARGETS.items() if k != kind])
     if kind == "ltv":
-        matrix = matrix.where("has_made_deposit = 1")
-    plain = plain_rows(matrix)
+        plain = plain.where("has_made_deposit = 1")
     checkpoint_dir(plain.sparkSession)
     stratum = None if kind == "ltv" else TARGETS[kind]
-    return with_split(plain, seed, label=stratum).withColumn(
-        "label", F.col(TARGETS[kind]).cast("double")).checkpoint()
+    return spread(with_split(plain, seed, label=stratum).withColumn(
+        "label", F.col(TARGETS[kind]).cast("double")).checkpoint(), "customer_id")
 
 
 def train(t: Tables, kind: str, *, trees: int = 100, rounds: int = 100, seed: int = 42,
-          leak_free: bool = True) -> Trained:
+          leak_free: bool = True, matrix: DataFrame | None = None) -> Trained:
     """Fit all candidates on the training share and keep the best on the held-out share.
 
     Classification is ranked by area under ROC, regression by R2. Without rows (no
-    depositors) the result is empty.
+    depositors) the result is empty. The candidates are fitted side by side: each consists of
+    hundreds of short jobs, which leave cores idle one after another.
     """
     if kind not in KINDS:
         raise ValueError(f"Unknown model kind: {kind}. Available: {list(KINDS)}")
-    rows = training_rows(t, kind, seed)
+    rows = training_rows(t, kind, seed, matrix)
     names = feature_names(rows.drop("label"), kind, leak_free)
     result = Trained(kind, names)
     fitted, held = rows.where("NOT is_test"), rows.where("is_test")
@@ -154,10 +170,16 @@ def train(t: Tables, kind: str, *, trees: int = 100, rounds: int = 100, seed: in
     train_rows = preparation.transform(fitted).select("label", "features").persist()
     try:
         candidates = (regressors if regression else classifiers)(trees, rounds, seed)
-        for name, estimator in candidates.items():
-            model = PipelineModel([*preparation.stages, estimator.fit(train_rows)])
-            result.models[name] = model
-            result.metrics[name] = _measure(model.transform(held), regression)
+
+        @inheritable_thread_target(rows.sparkSession)
+        def fit(name: str) -> tuple[PipelineModel, dict[str, float]]:
+            model = PipelineModel([*preparation.stages, candidates[name].fit(train_rows)])
+            return model, _measure(model.transform(held), regression)
+
+        train_rows.count()  # once for all candidates
+        with ThreadPoolExecutor(len(candidates)) as pool:
+            for name, (model, metrics) in zip(candidates, pool.map(fit, candidates), strict=True):
+                result.models[name], result.metrics[name] = model, metrics
     finally:
         train_rows.unpersist()
     order = "r2" if regression else "auc"
@@ -225,13 +247,16 @@ def residuals(trained: Trained) -> DataFrame:
 
 
 def risk_scores(t: Tables, models: dict[str, Transformer | None],
-                customer_ids: DataFrame | None = None) -> DataFrame:
+                customer_ids: DataFrame | None = None, matrix: DataFrame | None = None) -> DataFrame:
     """Churn, value and conversion scores with bands for all or the given customers.
 
     ``customer_ids`` is a frame with that column. A missing model leaves its published
-    defaults: no churn probability, value 0, conversion 0 or 1.
+    defaults: no churn probability, value 0, conversion 0 or 1. ``matrix`` is the
+    ``shared_matrix`` where one is at hand.
     """
-    matrix = feature_matrix(t, "churn").drop(TARGETS["churn"])
+    if matrix is None:
+        matrix = plain_rows(feature_matrix(t, "churn"))
+    matrix = matrix.drop(*TARGETS.values())
     if customer_ids is not None:
         matrix = matrix.join(customer_ids.select("customer_id").distinct(), "customer_id",
                              "left_semi")
@@ -239,7 +264,7 @@ def risk_scores(t: Tables, models: dict[str, Transformer | None],
     matrix = matrix.join(who, "customer_id")
     # three models read the same features; a written copy also keeps the plans short
     checkpoint_dir(matrix.sparkSession)
-    scored = plain_rows(matrix).checkpoint()
+    scored = spread(matrix.checkpoint(), "customer_id")
     outputs = {"churn": ("churn_probability", probability()), "conversion": (
         "conversion_score", probability()), "ltv": ("ltv_prediction", F.col("prediction"))}
     defaults = {"churn": F.lit(None).cast("double"), "conversion": F.lit(0.0), "ltv": F.lit(0.0)}

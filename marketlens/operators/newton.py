@@ -1,10 +1,11 @@
 """Second-order boosted trees over binned features.
 
-Each feature is cut into bins at approximate quantiles once. A tree grows level by level: one
-aggregate over all rows sums the loss's first and second derivatives per node, feature and bin, map-
-side, so a task emits as many rows as there are cells, and the driver, which gets their sums, picks
-for each node the cut with the largest gain. A leaf's weight is Newton's step -G / (H + l2). Rows
-carry the margin of the trees up to the last checkpoint; later trees are added where they are read.
+Each feature is cut into bins at approximate quantiles once, and rows are kept as blocks: a matrix
+of one byte a feature, labels and margins. A tree grows level by level: one pass over the blocks sums
+the loss's first and second derivatives per node, feature and bin, a table a task, and the tables are
+added up as a tree; the driver, which gets their sum, picks for each node the cut with the largest
+gain. A leaf's weight is Newton's step -G / (H + l2). Rows carry the margin of the trees up to the
+last checkpoint; later trees are added where they are read.
 """
 
 from __future__ import annotations
@@ -20,12 +21,15 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.rdd import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.session import checkpoint_dir
 
 BINS = 32
+BLOCK = 65_536  # rows of a block at most
+TABLES = 64  # of sums that the driver takes at once
 KEEP_EVERY = 8  # trees after which the rows are written again with their margins
 
 
@@ -52,10 +56,6 @@ def derivatives(label: np.ndarray, margin: np.ndarray, logistic: bool) -> tuple[
     return p - label, p * (1 - p)
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
-
-
 def best_cuts(g: np.ndarray, h: np.ndarray, l2: float, least: float) -> list[tuple | None]:
     """For each node of (node, feature, bin) sums: gain, feature, bin, and the sums of both sides."""
     left_g, left_h = np.cumsum(g, 2)[:, :, :-1], np.cumsum(h, 2)[:, :, :-1]
@@ -110,31 +110,35 @@ class NewtonTrees:
             start = float(mean)
         edges = self.edges(rows, width) if width else []
         checkpoint_dir(rows.sparkSession)
-        binned = rows.mapInArrow(_binning(edges, start), "label double, margin double, x binary").checkpoint()
+        binned = rows.mapInArrow(_binning(edges), "label binary, x binary").checkpoint()
+        blocks = binned.rdd.map(_block(width, start)).cache()
+        # tables of few tasks are added up by the driver, those of many by tasks first
+        depth = 1 if blocks.getNumPartitions() <= TABLES else 2
         done, trees, gains = [], [], np.zeros(max(width, 1))
         while len(done) + len(trees) < self.rounds and width:
-            tree = self._grow(binned, trees, width, gains)
+            tree = self._grow(blocks, trees, width, gains, depth)
             if tree is None:
                 break
             trees.append(tree)
-            if len(trees) == KEEP_EVERY:
-                binned = binned.mapInArrow(_adding(trees, width), binned.schema).checkpoint()
+            if len(trees) == KEEP_EVERY and len(done) + len(trees) < self.rounds:
+                before, blocks = blocks, blocks.map(_adding(trees)).cache()
+                blocks.checkpoint()
+                blocks.count()
+                before.unpersist()
                 done, trees = done + trees, []
+        blocks.unpersist()
         return NewtonModel.of(self.logistic, start, [_real(t, edges) for t in done + trees],
                               gains / max(gains.sum(), 1e-300))
 
-    def _grow(self, binned: DataFrame, trees: list[dict], width: int, gains: np.ndarray) -> dict | None:
+    def _grow(self, blocks: RDD, trees: list[dict], width: int, gains: np.ndarray,
+              depth: int) -> dict | None:
         size = 2 ** (self.depth + 1) - 1
         tree = {"feature": [-1] * size, "cut": [0.0] * size, "value": [0.0] * size}
         open_ = [0]
         for _ in range(self.depth):
-            sums = binned.mapInArrow(
-                _histograms(trees, tree, open_, width, self.bins, self.logistic),
-                "cell long, g double, h double").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-            table = np.zeros((2, len(open_) * width * self.bins))
-            for row in sums.collect():  # at most nodes x features x bins
-                table[:, row["cell"]] = row["g"], row["h"]
-            g, h = table.reshape(2, len(open_), width, self.bins)
+            # at most nodes x features x bins
+            g, h = blocks.mapPartitions(_histograms(
+                trees, tree, open_, width, self.bins, self.logistic)).treeReduce(np.add, depth)
             below = []
             for node, cut in zip(open_, best_cuts(g, h, self.l2, self.least), strict=True):
                 if cut is None:
@@ -158,41 +162,54 @@ def _real(tree: dict, edges: list[np.ndarray]) -> dict:
     return {**tree, "cut": cuts}
 
 
-def _binning(edges: list[np.ndarray], start: float):
+def _binning(edges: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def block() -> pa.RecordBatch:
+            label, bins = (np.concatenate(parts) for parts in zip(*held, strict=True))
+            return pa.record_batch({"label": pa.array([label.tobytes()], pa.binary()),
+                                    "x": pa.array([bins.tobytes()], pa.binary())})
+
         for batch in batches:
+            if not len(batch):
+                continue
             x = np.array(batch.column("x").flatten()).reshape(len(batch), -1)
             bins = np.stack([np.searchsorted(e, x[:, k], "left") for k, e in enumerate(edges)], 1)
-            rows = bins.astype(np.uint8)
-            yield pa.record_batch({
-                "label": batch.column("label"), "margin": pa.array(np.full(len(batch), start)),
-                "x": pa.array([r.tobytes() for r in rows], pa.binary())})
+            held.append((np.array(batch.column("label"), float), bins.astype(np.uint8)))
+            size += len(batch)
+            if size >= BLOCK:
+                yield block()
+                held, size = [], 0
+        if held:
+            yield block()
 
     return run
 
 
-def _adding(trees: list[dict], width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            more = descend(_matrix(batch.column("x"), width), trees)
-            yield pa.record_batch({
-                "label": batch.column("label"), "margin": pa.array(np.array(batch.column("margin")) + more),
-                "x": batch.column("x")})
+def _block(width: int, start: float):
+    """Labels, margins and bins of a block."""
+    def run(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        label = np.frombuffer(row["label"], float)
+        return (label, np.full(len(label), start),
+                np.frombuffer(row["x"], np.uint8).reshape(len(label), width))
 
     return run
 
 
+def _adding(trees: list[dict]):
+    return lambda block: (block[0], block[1] + descend(block[2], trees), block[2])
+
+
 def _histograms(trees: list[dict], tree: dict, open_: list[int], width: int, bins: int, logistic: bool):
     """Sums per cell (node, feature, bin) of a task's rows."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(blocks: Iterator[tuple]) -> Iterator[np.ndarray]:
         place = np.full(len(tree["feature"]), -1)
         place[open_] = np.arange(len(open_))
         feature, cut = np.array(tree["feature"]), np.array(tree["cut"])
         total = np.zeros((2, len(open_), width, bins))
-        for batch in batches:
-            x = _matrix(batch.column("x"), width)
-            margin = np.array(batch.column("margin")) + descend(x, trees)
-            g, h = derivatives(np.array(batch.column("label")), margin, logistic)
+        for label, margin, x in blocks:
+            g, h = derivatives(label, margin + descend(x, trees), logistic)
             node = np.zeros(len(x), np.int64)
             while len(on := np.flatnonzero(feature[node] >= 0)):
                 at = node[on]
@@ -204,10 +221,7 @@ def _histograms(trees: list[dict], tree: dict, open_: list[int], width: int, bin
                 cell = at + x[:, f]
                 for k, weight in enumerate((g, h)):
                     total[k, :, f] += np.bincount(cell, weight, len(open_) * bins).reshape(-1, bins)
-        flat = total.reshape(2, -1)
-        used = np.flatnonzero(flat[1])
-        yield pa.record_batch({"cell": pa.array(used, pa.int64()), "g": pa.array(flat[0, used]),
-                               "h": pa.array(flat[1, used])})
+        yield total
 
     return run
 

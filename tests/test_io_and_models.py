@@ -149,3 +149,26 @@ def test_weights_sum_to_one_and_models_agree(tables):
     assert max(worst) < 1e-9
     totals = rows(attribution.attribution_winners(tables))
     assert len({round(r["total_conversions"], 2) for r in totals}) == 1
+
+
+def test_trainings_and_scores_share_one_matrix(spark, monkeypatch):
+    from marketlens.registry import ModelQueries
+
+    built = []
+    whole = models.feature_matrix
+    monkeypatch.setattr(models, "feature_matrix", lambda *a: built.append(a) or whole(*a))
+    queries = ModelQueries(trees=3, rounds=2)
+    assert queries.queries()["risk_scores"](spark, SMALL).count() == 150
+    assert queries.queries()["model_comparison"](spark, SMALL).count() > 0
+    assert len(built) == 1
+
+
+def test_many_rows_in_one_part_are_spread(spark):
+    from marketlens.functions.rows import spread
+    from marketlens.session import checkpoint_dir
+
+    checkpoint_dir(spark)
+    one = spark.range(100).coalesce(1).checkpoint()
+    assert spread(one, "id").rdd.getNumPartitions() == 1
+    wide = spread(one, "id", least=25)
+    assert wide.rdd.getNumPartitions() == 4 and sorted(r[0] for r in wide.collect()) == list(range(100))

@@ -91,3 +91,19 @@ def test_one_label_and_no_spread(spark):
     rows = frame(spark, np.ones((6, 2)), np.ones(6))
     got = NewtonTrees(True, rounds=3).fit(rows).transform(rows).collect()
     assert all(r["probability"][1] > 0.999 for r in got)
+
+
+def test_rows_are_few_blocks_and_many_tasks_add_up_alike(spark, monkeypatch):
+    """A pass costs by the block, not by the row, and sums agree whoever adds them up."""
+    x, _, y = data(500)
+    rows = frame(spark, x, y).repartition(6)
+    found = spark.createDataFrame(
+        [(1.0, [float(v) for v in a]) for a in x], "label double, x array<double>").coalesce(1).mapInArrow(
+        newton._binning([np.array([0.0])] * 5), "label binary, x binary").collect()
+    assert len(found) == 1 and len(found[0]["x"]) == x.size
+    few = NewtonTrees(True, rounds=3).fit(rows).content
+    monkeypatch.setattr(newton, "TABLES", 1)
+    many = NewtonTrees(True, rounds=3).fit(rows).content
+    assert [t["feature"] for t in many["trees"]] == [t["feature"] for t in few["trees"]]
+    assert [v for t in many["trees"] for v in t["value"]] == pytest.approx(
+        [v for t in few["trees"] for v in t["value"]])
