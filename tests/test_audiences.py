@@ -81,6 +81,45 @@ def test_lookalikes_of_one_crowded_point(spark):
     assert audiences.distinct_points(frame, 3).count() == 5
 
 
+def test_lookalikes_meet_in_tiles(spark, monkeypatch):
+    """Pairs that meet are compared in tiles, and only each seed's nearest become rows."""
+    r = np.random.default_rng(3)
+    rows = [(f"c{k:03}", [float(v) for v in r.normal(size=2)]) for k in range(120)]
+    rows += [("c005", [0.0, 0.0]), ("c006", rows[6][1])]  # a customer with two points, and one twice
+    frame = table(spark, rows)
+    seeds = frame.where("customer_id < 'c030'")
+    monkeypatch.setattr(audiences, "TILE", 7)
+    got = {}
+    for g in audiences.nearest(frame, seeds, 4).orderBy("seed_id", "nth").collect():
+        got.setdefault(g["seed_id"], []).append((g["d2"], g["customer_id"]))
+    cells = {t: [] for t in range(audiences.HASH_TABLES)}
+    used = audiences.used_projections(len(rows))
+
+    def cell(z, t):
+        return tuple(math.floor((sum(a * b for a, b in zip(d, z, strict=True)) + o) / audiences.WIDTH)
+                     for d, o in audiences.projections(2)[t][:used])
+
+    for who, z in rows:
+        for t in cells:
+            cells[t].append((who, z, cell(z, t)))
+    told = {}
+    for t, held in cells.items():
+        for seed, sz, own in held:
+            for who, z, other in held:
+                gap = [abs(a - b) for a, b in zip(own, other, strict=True)]
+                if seed < "c030" <= who and sum(gap) <= 1:
+                    d2 = (z[0] - sz[0]) * (z[0] - sz[0]) + (z[1] - sz[1]) * (z[1] - sz[1])
+                    best = told.setdefault(seed, {})
+                    best[who] = min(d2, best.get(who, d2))
+    assert got == {seed: sorted((d, w) for w, d in best.items())[:4] for seed, best in told.items()}
+    looked = spark.createDataFrame([(f"s{k}", [float(k)], 0, [0]) for k in range(20)],
+                                   "seed_id string, seed_z array<double>, table int, cell array<int>")
+    hashed = spark.createDataFrame([(f"c{k}", [float(k)], 0, [0]) for k in range(500)],
+                                   "customer_id string, z array<double>, table int, cell array<int>")
+    monkeypatch.setattr(audiences, "TILE", 100)
+    assert audiences.tiled(looked, hashed, 4).count() <= 20 * 5 * 2 * 4
+
+
 def test_projections_grow_with_the_customers():
     assert [audiences.used_projections(n) for n in (0, 1500, 4000, 10**5, 10**9)] == [2, 2, 3, 5, 8]
 
