@@ -51,6 +51,23 @@ def test_clusters_of_awkward_points(spark):
     assert audiences.seeded(table(spark, []), 3) == []
 
 
+def test_facts_are_read_once_for_the_points(spark, monkeypatch):
+    """Moments and points come from written features, not from the facts again."""
+    read = spark.sparkContext.accumulator(0)
+    people = [(f"c{k}", *[float(k + i) for i in range(len(audiences.BEHAVIOUR))]) for k in range(40)]
+    schema = ", ".join(["customer_id string", *(f"{n} double" for n in audiences.BEHAVIOUR)])
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    monkeypatch.setattr(audiences, "feature_matrix", lambda t: spark.createDataFrame(
+        people, schema).mapInArrow(counted, schema))
+    found, _ = audiences.standardised(None)
+    assert found.count() == 40 and read.value == 40
+
+
 def test_lookalikes_recall(spark, points):
     whales = from_testdata(spark, FOLDER).customers.where("customer_segment = 'whale'")
     rows = points.collect()
