@@ -5,8 +5,8 @@ further, overlapping spans of each kind: addresses with a written-out at sign or
 all runs of digits with separators. Boosted trees (Spark ML) score a proposal by its format
 (digits, groups, separators, check digit, octets) and its context (neighbouring characters,
 words before it). They are trained on what the checks tell: proposals that agree with a
-base span against those that fail the check of their kind; of these, the ``SAMPLE`` with
-the smallest hashes. Proposals that no check decides are neither. On the half held out, the
+base span against those that fail the check of their kind, each with the number of proposals
+that look like it as its weight. Proposals that no check decides are neither. On the half held out, the
 lowest score at which at least ``PRECISION`` of the proposals of a kind are right, over at
 least ``SUPPORT`` of them, becomes the threshold of the kind; a kind without such a score
 adds nothing. An added span never overlaps a base span.
@@ -51,8 +51,7 @@ WORDS_BEFORE = {
     "email": "mail|contact|write|@", "ip": "ip|host|server|address|node",
     "card": "card|visa|payment|account|credit", "phone": "phone|tel|call|mobile|fax|dial",
 }
-# numbers of the training set, documented bounds
-SAMPLE, PRECISION, SUPPORT, TREES, DEPTH, SEED = 20_000, 0.98, 20, 10, 3, 7
+PRECISION, SUPPORT, TREES, DEPTH, SEED = 0.98, 20, 10, 3, 7
 
 LEAST_DIGITS = 7  # of a proposed number
 
@@ -183,22 +182,22 @@ def _scored(model: GBTClassificationModel, rows: DataFrame, names: list[str]) ->
 
 
 def train(told: DataFrame, names: list[str]) -> tuple[GBTClassificationModel, dict[str, float]] | None:
-    """The trees, and the threshold of each kind that has one."""
+    """The trees, and the threshold of each kind that has one, from all of ``told``."""
     order = F.xxhash64("rid", "start", "kind", F.lit(SEED))
-    sample = stored(told.withColumn("order", order).orderBy("order").limit(SAMPLE)
-                    .withColumn("held", F.pmod("order", F.lit(2)) == 1)
-                    .select("kind", "label", "held", *names), "pii-sample")
-    present = sample.where("NOT held").agg(F.min("label"), F.max("label")).first()
+    # proposals that look alike are one row with their number
+    seen = stored(told.withColumn("held", F.pmod(order, F.lit(2)) == 1)
+                  .groupBy("kind", "label", "held", *names).agg(F.count("*").cast("double").alias("alike")), "pii-told")
+    present = seen.where("NOT held").agg(F.min("label"), F.max("label")).first()
     if present[0] != 0.0 or present[1] != 1.0:
         return None
-    fit = sample.where("NOT held").coalesce(1)
-    model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH,
-                          maxBins=16, seed=SEED).fit(
-        VectorAssembler(inputCols=names, outputCol="x").transform(fit))
-    held = _scored(model, sample.where("held"), names)
-    # at most SAMPLE rows, summed up by distinct score before they are put in order
+    model = GBTClassifier(featuresCol="x", labelCol="label", weightCol="alike", maxIter=TREES,
+                          maxDepth=DEPTH, maxBins=16, seed=SEED).fit(
+        VectorAssembler(inputCols=names, outputCol="x").transform(seen.where("NOT held")))
+    held = _scored(model, seen.where("held"), names)
+    # summed up by distinct score, of which a few small trees have few, before they are put in order
     level = Window.partitionBy("kind").orderBy(F.desc("score"))
-    curve = (held.groupBy("kind", "score").agg(F.sum("label").alias("good"), F.count("*").alias("n"))
+    curve = (held.groupBy("kind", "score").agg(
+        F.sum(F.col("label") * F.col("alike")).alias("good"), F.sum("alike").alias("n"))
              .withColumn("good", F.sum("good").over(level)).withColumn("n", F.sum("n").over(level)))
     cuts = curve.where((F.col("good") >= PRECISION * F.col("n")) & (F.col("good") >= SUPPORT)
                        & (F.col("score") > 0.5)).groupBy("kind").agg(F.min("score"))

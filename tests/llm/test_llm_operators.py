@@ -198,6 +198,19 @@ def test_pii_adds_what_it_has_learnt(spark):
     assert not any(got[i]["n_added"] for i, _ in real)
 
 
+def test_pii_learns_from_all_decided_proposals(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(pii, "stored", lambda df, name: kept.append(df.cache()) or kept[-1])
+    n = 21_000
+    told = spark.range(n).select(
+        F.col("id").alias("rid"), F.lit(0).cast("long").alias("start"), F.lit("phone").alias("kind"),
+        (F.col("id") % 3 == 0).cast("double").alias("label"),
+        ((F.col("id") % 3 == 0).cast("double") + F.col("id") % 2).alias("f_a"))
+    model, cuts = pii.train(told, ["f_a"])
+    assert kept[0].agg(F.sum("alike")).first()[0] == n and kept[0].count() < 20
+    assert model.getNumTrees == pii.TREES and set(cuts) <= {"phone"}
+
+
 def test_exact_dedup(docs, clashing, small):
     columns = ("keep_id", "group_size", "kept", "text_sha256")
     for frame in (docs, clashing, small):
