@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from marketlens.session import checkpoint_dir
 
 BINS = 32
-BLOCK = 65_536  # rows of a block at most
+BLOCK = 65_536  # rows with which a block ends
 TABLES = 64  # of sums that the driver takes at once
 KEEP_EVERY = 8  # trees after which the rows are written again with their margins
 
