@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.numbers import fixed
+from marketlens.functions.rows import written
 from marketlens.plans.tables import Tables
 
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
@@ -25,20 +26,12 @@ CELL = ["key", "island", "chunk"]
 
 
 def _instants(df: DataFrame, key: str, ts: str, sums: dict[str, Column]) -> DataFrame:
-    """One row per key and distinct instant, in microseconds, with the wanted sums."""
+    """One row per key and distinct instant, in microseconds, with the wanted sums. Rows without
+    key or instant are in no session."""
     micros = F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, `{ts}`)")
     return df.groupBy(F.col(key).alias("key"), micros.alias("at")).agg(
-        *[F.sum(value).alias(name) for name, value in sums.items()])
-
-
-def _chunked(points: DataFrame, chunk_seconds: int) -> DataFrame:
-    return points.withColumn("chunk", F.floor(F.col("at") / F.lit(chunk_seconds * MICRO)))
-
-
-def _sessions(marked: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
-    """Fold instants marked with their session's ``start``."""
-    return _published(marked.groupBy("key", "start").agg(
-        F.max("at").alias("end"), *[F.sum(name).alias(name) for name in sums]), key, sums)
+        *[F.sum(value).alias(name) for name, value in sums.items()]).where(
+        "key IS NOT NULL AND at IS NOT NULL")
 
 
 def _published(sessions: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
@@ -50,35 +43,62 @@ def _published(sessions: DataFrame, key: str, sums: dict[str, Column]) -> DataFr
         .alias("duration_minutes"), *sums)
 
 
-def _islands(points: DataFrame, gap: int) -> DataFrame:
-    """Mark each instant with the first instant of its run without a longer gap.
+def _marked(points: DataFrame, gap: int, span: int, sums: dict[str, Column]) -> DataFrame:
+    """What a chunk alone tells of its instants, in one pass, written down.
 
-    Windows run inside a chunk, and over one row per chunk for what crosses chunks.
+    ``piece`` is the first instant of their run without a longer gap inside the chunk. An
+    instant is ``alone`` if it has no neighbour within the gap, in whatever chunk.
     """
     cell = Window.partitionBy("key", "chunk").orderBy("at")
-    calendar = Window.partitionBy("key").orderBy("chunk")
-    ends = points.groupBy("key", "chunk").agg(F.max("at").alias("last")).select(
-        "key", "chunk", F.lag("last").over(calendar).alias("last_before"))
-    lagged = points.withColumn("inside", F.lag("at").over(cell)).join(ends, ["key", "chunk"])
-    before = F.coalesce("inside", "last_before")
-    opens = before.isNull() | (F.col("at") - before > F.lit(gap))
-    flagged = lagged.withColumn("opens", F.when(opens, F.col("at"))).drop("inside", "last_before")
-    # the run's start: the latest opening so far, in this chunk or else in an earlier one
-    upto = cell.rowsBetween(Window.unboundedPreceding, 0)
-    carried = flagged.groupBy("key", "chunk").agg(F.max("opens").alias("latest")).select(
-        "key", "chunk",
-        F.max("latest").over(calendar.rowsBetween(Window.unboundedPreceding, -1)).alias("open"))
-    return flagged.withColumn("here", F.max("opens").over(upto)).join(
-        carried, ["key", "chunk"]).withColumn("start", F.coalesce("here", "open")).drop(
-        "here", "open", "opens")
+    first = F.col("before").isNull() | (F.col("at") - F.col("before") > gap)
+    last = F.col("after").isNull() | (F.col("after") - F.col("at") > gap)
+    begin = F.col("chunk") * span
+    inside = (F.col("at") > begin + gap) & (F.col("at") < begin + span - gap)
+    return written(
+        points.withColumn("chunk", F.expr(f"(at - pmod(at, {span}L)) div {span}L"))
+        .select("*", F.lag("at").over(cell).alias("before"), F.lead("at").over(cell).alias("after"))
+        .select("key", "chunk", "at", *sums, (first & last & inside).alias("alone"),
+                F.max(F.when(first, F.col("at"))).over(
+                    cell.rowsBetween(Window.unboundedPreceding, 0)).alias("piece")), "instants")
+
+
+def _linked(marked: DataFrame, gap: int, sums: dict[str, Column]) -> DataFrame:
+    """Pieces of more than one instant or near an end of their chunk, each with the first
+    instant of its run (``start``).
+
+    The window holds these pieces of one key. The calendar bounds their number: between any
+    two of a chunk lies a gap.
+    """
+    calendar = Window.partitionBy("key").orderBy("piece")
+    before = F.lag("end").over(calendar)
+    opens = F.when(before.isNull() | (F.col("piece") - before > gap), F.col("piece"))
+    pieces = marked.where("NOT alone").groupBy("key", "chunk", "piece").agg(
+        F.max("at").alias("end"), *[F.sum(name).alias(name) for name in sums])
+    return pieces.withColumn("opens", opens).withColumn(
+        "start", F.max("opens").over(calendar.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _cut(df: DataFrame, key: str, ts: str, sums: dict[str, Column], gap: int, span: int
+         ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The marked instants, those that are sessions, the linked pieces and their runs."""
+    marked = _marked(_instants(df, key, ts, sums), gap, span, sums)
+    linked = _linked(marked, gap, sums)
+    kinds = dict(linked.dtypes)
+    alone = marked.where("alone").select(
+        "key", F.col("at").alias("start"), F.col("at").alias("end"),
+        *[F.col(name).cast(kinds[name]).alias(name) for name in sums])
+    runs = linked.groupBy("key", "start").agg(
+        F.max("end").alias("end"), F.min("chunk").alias("lo"), F.max("chunk").alias("hi"),
+        *[F.sum(name).cast(kinds[name]).alias(name) for name in sums])
+    return marked, alone, linked, runs
 
 
 def sessionize_gap(df: DataFrame, key: str, ts: str, sums: dict[str, Column],
                    gap_seconds: int = SESSION_SECONDS,
                    chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """New session when an instant is more than the gap after the *previous* one."""
-    points = _chunked(_instants(df, key, ts, sums), chunk_seconds)
-    return _sessions(_islands(points, gap_seconds * MICRO), key, sums)
+    _, alone, _, runs = _cut(df, key, ts, sums, gap_seconds * MICRO, chunk_seconds * MICRO)
+    return _published(alone.unionByName(runs.drop("lo", "hi")), key, sums)
 
 
 def _exits(times: np.ndarray, gap: int, entries: int) -> np.ndarray:
@@ -174,18 +194,17 @@ def sessionize_anchored(df: DataFrame, key: str, ts: str, sums: dict[str, Column
     A longer gap always opens a session, so runs without one are independent, and a run
     no longer than the gap is a session already: both are found JVM-side. Only longer
     runs have order-dependent sessions; they are laid out per (run, chunk) in sorted
-    Arrow batches, so that no task holds a key or even a run.
+    Arrow batches, so that no task holds a key or even a run. The source is read once.
     """
     gap, span = gap_seconds * MICRO, chunk_seconds * MICRO
-    marked = _islands(_chunked(_instants(df, key, ts, sums), chunk_seconds), gap)
-    runs = marked.groupBy("key", "start").agg(
-        F.max("at").alias("end"), F.min("chunk").alias("lo"), F.max("chunk").alias("hi"),
-        *[F.sum(name).alias(name) for name in sums])
+    marked, alone, linked, runs = _cut(df, key, ts, sums, gap, span)
     length = F.col("end") - F.col("start")
     short = runs.where(length <= gap).drop("lo", "hi")
     long = runs.where(length > gap).select(
-        "key", F.col("start").alias("island"), (F.col("lo") < F.col("hi")).alias("wide"))
-    dense = marked.withColumnRenamed("start", "island").join(long, ["key", "island"])
+        "key", "start", (F.col("lo") < F.col("hi")).alias("wide"))
+    parts = linked.select("key", "chunk", "piece", "start").join(long, ["key", "start"]).select(
+        "key", "chunk", "piece", F.col("start").alias("island"), "wide")
+    dense = marked.where("NOT alone").drop("alone").join(parts, ["key", "chunk", "piece"])
     handed = _handed_over(dense.where("wide"), gap, span)
     kinds = dict(dense.dtypes)
     out = ["key", "at", "start", *sums]
@@ -196,7 +215,7 @@ def sessionize_anchored(df: DataFrame, key: str, ts: str, sums: dict[str, Column
     )
     folded = laid.groupBy("key", "start").agg(
         F.max("at").alias("end"), *[F.sum(name).alias(name) for name in sums])
-    return _published(short.unionByName(folded), key, sums)
+    return _published(alone.unionByName(short).unionByName(folded), key, sums)
 
 
 def event_sums() -> dict[str, Column]:

@@ -51,3 +51,33 @@ def test_anchored_and_gap_rules(spark):
     anchored = run(spark, events, 7200, sessions.CHUNK_SECONDS, True)
     assert anchored == {("a", 0, 5400, 2), ("a", 9000, 12000, 2)}
     assert run(spark, events, 7200, sessions.CHUNK_SECONDS, False) == {("a", 0, 12000, 4)}
+
+
+@pytest.mark.parametrize("anchored", [True, False])
+def test_source_is_read_once(spark, anchored):
+    # isolated instants, a run over chunks and a dense key: every way of folding is taken
+    events = [("a", s) for s in (0, 50, 95, 105, 300)] + [("b", s) for s in range(0, 400, 3)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    df = spark.createDataFrame(
+        [(u, BASE + dt.timedelta(seconds=s)) for u, s in events], "k string, ts timestamp_ntz")
+    df = df.mapInPandas(counted, df.schema)
+    cut = sessions.sessionize_anchored if anchored else sessions.sessionize_gap
+    got = {(r["k"], int((r["start_time"] - BASE).total_seconds()),
+            int((r["end_time"] - BASE).total_seconds()), r["n"])
+           for r in cut(df, "k", "ts", {"n": F.lit(1)}, gap_seconds=20, chunk_seconds=100).collect()}
+    assert got == plain(events, 20, anchored)
+    assert read.value == len(events)
+
+
+def test_rows_without_key_or_instant_are_in_no_session(spark):
+    df = spark.createDataFrame(
+        [("a", BASE), (None, BASE), ("a", None), (None, None)], "k string, ts timestamp_ntz")
+    for cut in (sessions.sessionize_anchored, sessions.sessionize_gap):
+        got = cut(df, "k", "ts", {"n": F.lit(1)}).collect()
+        assert [(r["k"], r["start_time"], r["n"]) for r in got] == [("a", BASE, 1)]
