@@ -143,6 +143,13 @@ def test_suffix_dedup(monkeypatch, docs, clashing, small, giant):
     assert suffix_dedup.removals(empty(docs)).count() == 0
 
 
+def test_suffix_removals_hold_the_texts_in_one_worker_a_task(spark):
+    # a second Python pass over the texts keeps a second worker with its memory a core
+    frame = spark.createDataFrame([(1, "a" * 60)], "doc_id long, text string")
+    plan = suffix_dedup.removals(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("Join")[0].count("MapInArrow") == 1
+
+
 def test_suffix_dedup_shared_and_null_ids(spark):
     a, b = PASSAGE, PASSAGE + " and more of it"
     frame = spark.createDataFrame([(1, a), (1, b), (None, b), (0, "x")], "doc_id long, text string")
