@@ -137,6 +137,82 @@ def test_lookalikes_meet_in_tiles(spark, monkeypatch):
     assert audiences.tiled(looked, hashed, 4).count() <= 20 * 5 * 2 * 4
 
 
+def test_seeds_are_compared_with_few_of_a_crowded_cell(spark, monkeypatch):
+    """Customers that share all cells are not compared with each seed that looks into them."""
+    r = np.random.default_rng(8)
+    z = np.round(r.normal(size=(2600, 2)) * 0.2, 6)
+    frame = table(spark, [(f"c{k:04}", list(map(float, v))) for k, v in enumerate(z)])
+    pairs, plain = spark.sparkContext.accumulator(0), audiences._compared
+
+    def counted(*parts):
+        run = plain(*parts)
+
+        def counting(batches):
+            def seen():
+                for batch in batches:
+                    for i in range(len(batch)):
+                        pairs.add(len(batch.column("customers")[i].values) * len(batch.column("looking")[i].values))
+                    yield batch
+
+            return run(seen())
+
+        return counting
+
+    monkeypatch.setattr(audiences, "_compared", counted)
+    monkeypatch.setattr(audiences, "TILE", 64)
+    got = {}
+    for g in audiences.nearest(frame, frame.where("customer_id < 'c0600'"), 3).orderBy("seed_id", "nth").collect():
+        got.setdefault(g["seed_id"], []).append(g["customer_id"])
+    d2 = ((z[:600, None] - z[None, 600:]) ** 2).sum(2)
+    assert got == {f"c{k:04}": [f"c{600 + i:04}" for i in np.argsort(d2[k], kind="stable")[:3]] for k in range(600)}
+    assert pairs.value < 600 * 2000 / 2  # a table's cells alone are 600 * 2000
+
+
+def test_seeds_without_customers_in_their_leaf(spark, monkeypatch):
+    """Those find the customers of the cells that they look into, wherever these lie."""
+    r = np.random.default_rng(9)
+    z = np.round(r.normal(size=(240, 4)) * 25, 6)
+    names = [f"c{k:03}" for k in range(240)]
+    frame = table(spark, [(n, list(map(float, v))) for n, v in zip(names, z, strict=True)])
+    monkeypatch.setattr(audiences, "TILE", 8)
+    got = {}
+    for g in audiences.nearest(frame, frame.where("customer_id < 'c060'"), 3).orderBy("seed_id", "nth").collect():
+        got.setdefault(g["seed_id"], []).append(g["customer_id"])
+    meeting = audiences.Meeting(4, audiences.used_projections(240))
+    own = meeting.cells(z)
+    told = {}
+    for k in range(60):
+        met = 60 + np.nonzero(meeting.of(own[k], own[60:]))[0]
+        if len(met):
+            told[names[k]] = [names[i] for i in met[np.argsort(((z[met] - z[k]) ** 2).sum(1), kind="stable")[:3]]]
+    assert got == told and any(len(v) < 3 for v in told.values())
+    jvm = frame.select("customer_id", audiences.cells(F.col("z"), 4, meeting.used).alias("cells"))
+    assert {c["customer_id"]: c["cells"] for c in jvm.collect()} == dict(zip(names, own.tolist(), strict=True))
+
+
+def test_leaves_hold_all_that_are_near():
+    r = np.random.default_rng(10)
+    z = np.round(r.standard_t(3, size=(2000, 3)), 1)
+    z[:500] = 0.0
+    leaves = audiences.Leaves.halving(z[::7], 6)
+    at = leaves.at(z)
+    held = np.unique(at)
+    leaves = leaves.bounded(held, np.array([z[at == n].min(0) for n in held]), np.array([z[at == n].max(0) for n in held]))
+    limit = r.random(300) * 2
+    row, leaf = leaves.within(z[600:900], limit)
+    visits = set(zip(row.tolist(), leaf.tolist(), strict=True))
+    assert len(visits) == len(row) < 300 * len(held) / 2
+    d2 = ((z[600:900, None] - z[None]) ** 2).sum(2)
+    assert {(k, int(at[i])) for k, i in zip(*np.nonzero(d2 <= limit[:, None]), strict=True)} <= visits
+
+
+def test_lookalikes_of_nobody(spark):
+    nobody = table(spark, [])
+    assert audiences.nearest(nobody, nobody).count() == 0
+    some = table(spark, [("a", [1.0]), ("b", [2.0])])
+    assert audiences.nearest(some, nobody).count() == 0 and audiences.nearest(some, some).count() == 0
+
+
 def test_projections_grow_with_the_customers():
     assert [audiences.used_projections(n) for n in (0, 1500, 4000, 10**5, 10**9)] == [2, 2, 3, 5, 8]
 
